@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import similar_sets
 from .substring_dedup import substring_dedup
 
 
@@ -18,7 +19,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup)}
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op6_ngram_jaccard_join)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
