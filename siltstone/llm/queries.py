@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_sets
+from .mixing import mix
 from .substring_dedup import substring_dedup
 
 
@@ -23,7 +24,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op6_ngram_jaccard_join)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op6_ngram_jaccard_join, op8_mixing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
