@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_sets
 from .mixing import mix
@@ -28,7 +29,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op6_ngram_jaccard_join, op8_mixing)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op6_ngram_jaccard_join, op8_mixing, op9_decontamination)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
