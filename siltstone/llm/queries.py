@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import similar_sets
 from .mixing import mix
 from .substring_dedup import substring_dedup
+from .token_output import token_output
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -34,7 +39,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op6_ngram_jaccard_join, op8_mixing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op5_token_output, op6_ngram_jaccard_join, op8_mixing, op9_decontamination)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
