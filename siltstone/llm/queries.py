@@ -12,6 +12,7 @@ from .jaccard_join import similar_sets
 from .mixing import mix
 from .substring_dedup import substring_dedup
 from .token_output import token_output
+from .warc import archive
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +40,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op5_token_output, op6_ngram_jaccard_join, op8_mixing, op9_decontamination)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op5_token_output, op6_ngram_jaccard_join, op8_mixing, op9_decontamination, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size, min(doc_id) <= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents) AS historical FROM d GROUP BY h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256, historical FROM d JOIN g USING (h)""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+        g AS (SELECT h, min(page_id) AS holder FROM d GROUP BY h)
+        SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+            CASE WHEN n >= 100 AND page_id > holder THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id > holder THEN holder END AS refers_to
+        FROM d JOIN g USING (h)""",
 }
