@@ -10,8 +10,10 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_sets
 from .mixing import mix
+from .quality import quality
 from .substring_dedup import substring_dedup
 from .token_output import token_output
+from .toxicity import toxicity
 from .warc import archive
 
 
@@ -23,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -44,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op5_token_output, op6_ngram_jaccard_join, op8_mixing, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
