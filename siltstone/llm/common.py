@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[str] = []
+_PASSING = False
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}/{name}"
-    _SCRATCH.append(path)
-    return path
+    folder = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+    if _PASSING:
+        _SCRATCH.append(folder)
+    return f"{folder}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,18 +37,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(docs: DataFrame) -> None:
-    """Delete earlier scratch tables, unless docs still reads one of them.
+@contextmanager
+def passing():
+    """Scratch tables made inside are for one stage of a pipeline: release() deletes them."""
+    global _PASSING
+    before, _PASSING = _PASSING, True
+    try:
+        yield
+    finally:
+        _PASSING = before
+
 
-    For a pipeline whose stages are written out before the next one begins.
-    """
-    spark = docs.sparkSession
-    if any("/siltstone-" in f for f in docs.inputFiles()):
-        return
+def release(docs: DataFrame) -> None:
+    """Delete the scratch tables of earlier stages, but those that docs still reads."""
+    spark, read = docs.sparkSession, docs.inputFiles() if _SCRATCH else []
     jvm = spark.sparkContext._jvm
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop()).getParent()
+    for folder in [*_SCRATCH]:
+        if any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in read):
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.remove(folder)
 
 
 def size_in_bytes(df: DataFrame) -> int:

@@ -229,3 +229,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
         search()
     out = hits.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items array<long>, items_sha256 string, spans array<long>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the contaminated rows, with their columns; rows with a null id stay."""
+    id_col = options.get("id_col", "doc_id")
+    bad = decontaminate(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("__bad_id"))
+    return docs.join(bad, docs[id_col].cast("long") == bad["__bad_id"], "left_anti").select(*docs.columns)

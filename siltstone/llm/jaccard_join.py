@@ -368,3 +368,10 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     else:
         out = every.join(components(links).withColumnRenamed("doc", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of linked sets, the one with the smallest id; rows with a null id stay."""
+    id_col = options.get("id_col", "doc_id")
+    found = similar_sets(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias("__copy_id"))
+    return docs.join(found, docs[id_col].cast("long") == found["__copy_id"], "left_anti").select(*docs.columns)

@@ -17,6 +17,7 @@ WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 SHARE = (3, 2)  # of all sizes: 150 %
 MOST_EPOCHS = 2
+KEY_BITS = 60
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -56,15 +57,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     size: the words of the text (null: 0). Sources are compared as they are; null is a source, the last. taken: words
     that the mix takes from the row, repeats counted: epochs times its size, and what the last epoch takes. The words
     taken from a source are its target, rounded to a whole number, and no row gives more than most times its size.
-    Order: xxhash64 of id and seed, then id, so reruns agree; of rows that repeat an id, any may come first. Rows of
+    Order: 60 bits of the MD5 of id and seed, then id, so reruns agree; of rows that repeat an id, any may come first. Rows of
     size 0 give nothing; a source of size 0 has target 0. An empty table gives no rows.
     """
     sized = written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes"
     )
     ranges = buckets_for(docs, 32 << 20, least=16)
-    key = F.xxhash64("doc_id", F.lit(seed))
-    rows = sized.withColumn("key", key).withColumn("range", F.shiftrightunsigned("key", 65 - ranges.bit_length()))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+    rows = sized.withColumn("key", key).withColumn("range", F.shiftright("key", KEY_BITS + 1 - ranges.bit_length()))
     cells = written(rows.groupBy("source", "range").agg(F.sum("size").alias("cell")), "cells")
     goal = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), weights, share, most)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_sets
+from .language_id import language_id
 from .mixing import mix
 from .quality import quality
 from .substring_dedup import substring_dedup
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -69,4 +74,18 @@ ORACLE_SQL = {
             CASE WHEN n >= 100 AND page_id > holder THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN n >= 100 AND page_id > holder THEN holder END AS refers_to
         FROM d JOIN g USING (h)""",
+    "op8_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            ('0x' || substr(md5(doc_id::VARCHAR || ':42'), 1, 15))::BIGINT AS key FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+        r AS (SELECT *, sum(2 * source_size) OVER o AS below, sum(w) OVER () - sum(w) OVER o AS above, sum(source_size) OVER () * 3.0::DOUBLE / 2 AS budget,
+            lead(2 * source_size / w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST) AS next_ratio, min(2 * source_size / w) OVER () AS least_ratio, row_number() OVER o AS place, sum(w) OVER () AS all_w
+            FROM s WINDOW o AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+        l AS (SELECT coalesce(min(CASE WHEN budget / all_w <= least_ratio THEN budget / all_w END),
+            arg_min((budget - below) / above, place) FILTER (above > 0 AND (budget - below) / above <= next_ratio)) AS level FROM r),
+        t AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * w >= 2 * source_size THEN (2 * source_size)::DOUBLE ELSE level * w END AS target FROM s, l),
+        p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, source, size, source_size, target, (CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END * size
+            + greatest(0, least(size, round(target)::BIGINT - CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END * source_size - before)))::BIGINT AS taken FROM p""",
 }
