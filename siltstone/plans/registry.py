@@ -1,9 +1,313 @@
-"""The queries over the operation log, by name."""
+"""The queries over the operation log, by name. Each takes (spark, sf_dir); settings are the engine's defaults."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT as C
+from ..functions.hashing import log_crc, record_size, value_crc
+from ..operators import compaction, folds, merkle, resolve, runs, sketches, wal
+from ..sources.oplog import events_log, orders_log, with_seq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BLOOM_M, BLOOM_K = runs.bloom_size(C.memtable_threshold, C.false_positive_rate)
+CMS_DEPTH, CMS_WIDTH = sketches.cms_size(C.cms_epsilon, C.cms_delta)
+HLL_P = 6
+LEVELS = 3
+RECORD = ("key", "value", "ts", "tombstone")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.flush(events_log(spark, sf_dir), C.memtable_threshold)
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").cast("string").alias("item"))
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are looked up: every tenth user id, and as many that don't exist."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().filter("user_id % 10 = 0")
+    return e.select(F.explode(F.array(F.col("user_id").cast("string"), F.concat(F.lit("x"), F.col("user_id").cast("string")))).alias("key"))
+
+
+@query
+def kv_latest_per_key(spark, sf_dir):
+    return resolve.latest_per_key(events_log(spark, sf_dir)).select(*RECORD, record_size(F.col("key"), F.col("value")).alias("record_size"))
+
+
+@query
+def kv_live_snapshot(spark, sf_dir):
+    return resolve.snapshot(events_log(spark, sf_dir)).select("key", "value", "ts")
+
+
+@query
+def kv_orders_snapshot(spark, sf_dir):
+    return resolve.snapshot(orders_log(spark, sf_dir)).select("key", "value", "ts")
+
+
+@query
+def kv_point_get(spark, sf_dir):
+    return resolve.get(events_log(spark, sf_dir), "7").select("key", "value", "ts")
+
+
+@query
+def kv_multi_get(spark, sf_dir):
+    return resolve.multi_get(events_log(spark, sf_dir), _probes(spark, sf_dir)).select("key", "found", "value")
+
+
+@query
+def kv_deleted_keys(spark, sf_dir):
+    return resolve.latest_per_key(events_log(spark, sf_dir)).filter("tombstone").select("key", "ts")
+
+
+@query
+def kv_delete_outcomes(spark, sf_dir):
+    d = resolve.delete_outcomes(events_log(spark, sf_dir))
+    return d.groupBy("key").agg(F.count("*").alias("deletes"), F.sum(F.col("found").cast("long")).alias("found"))
+
+
+@query
+def kv_history_counts(spark, sf_dir):
+    return resolve.history_counts(events_log(spark, sf_dir))
+
+
+@query
+def wal_segments(spark, sf_dir):
+    return wal.segments(with_seq(events_log(spark, sf_dir)), C.wal_segment)
+
+
+@query
+def wal_low_mark_retention(spark, sf_dir):
+    return wal.retained(with_seq(events_log(spark, sf_dir)), C.wal_segment, C.wal_low_mark).select("segment", "n_ops", "first_seq", "last_seq")
+
+
+@query
+def wal_replay(spark, sf_dir):
+    return wal.replay(with_seq(events_log(spark, sf_dir)), C.wal_segment).select(*RECORD)
+
+
+@query
+def wal_crc(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return log.select(F.col("ord.tie").alias("event_id"), log_crc(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value")).alias("crc"))
+
+
+@query
+def memtable_flush_segments(spark, sf_dir):
+    s = folds.flush_segments(events_log(spark, sf_dir), C.memtable_threshold)
+    return s.groupBy("segment").agg(F.count("*").alias("n_ops"), F.count_distinct("key").alias("n_keys"), F.min("ord.tie").alias("least_event"), F.max("ord.tie").alias("largest_event"))
+
+
+@query
+def memtable_flush_sharded(spark, sf_dir):
+    """Eight independent stores: the form for many executors. Totals that don't depend on the shard hash."""
+    s = folds.flush_segments(events_log(spark, sf_dir), C.memtable_threshold, shards=8)
+    per = s.groupBy("shard", "segment").agg(F.count("*").alias("n"), F.count_distinct("key").alias("k"))
+    return per.agg(F.sum("n").alias("n_ops"), F.sum(F.expr(f"cast(k > {C.memtable_threshold} as bigint)")).alias("too_large"))
+
+
+@query
+def sstable_sorted_scan(spark, sf_dir):
+    return runs.sorted_scan(_runs(spark, sf_dir)).select("level", "sstable", "place", "key", "value", "tombstone")
+
+
+@query
+def sstable_index_offsets(spark, sf_dir):
+    return runs.index(_runs(spark, sf_dir))
+
+
+@query
+def sstable_summary(spark, sf_dir):
+    return runs.summary(_runs(spark, sf_dir))
+
+
+@query
+def summary_prune(spark, sf_dir):
+    return runs.prune(runs.summary(_runs(spark, sf_dir)), _probes(spark, sf_dir))
+
+
+@query
+def index_lookup(spark, sf_dir):
+    """Each probe's entries in the runs that have it: run, and offset of the record."""
+    return runs.index(_runs(spark, sf_dir)).join(_probes(spark, sf_dir), "key").select("key", "sstable", "data_offset")
+
+
+@query
+def sstable_manifest(spark, sf_dir):
+    return runs.manifest(_runs(spark, sf_dir))
+
+
+@query
+def bloom_positions(spark, sf_dir):
+    b = runs.bloom(_runs(spark, sf_dir), BLOOM_M, BLOOM_K)
+    return b.select("level", "sstable", F.concat_ws(",", F.transform("positions", lambda x: x.cast("string"))).alias("positions"))
+
+
+@query
+def bloom_probe(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    maybe = runs.bloom_probe(runs.bloom(r, BLOOM_M, BLOOM_K), _probes(spark, sf_dir), BLOOM_M, BLOOM_K)
+    both = maybe.join(r.select("level", "sstable", "key", F.lit(True).alias("there")), ["level", "sstable", "key"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return both.groupBy("key").agg(count(F.col("maybe") & F.col("there")).alias("true_positive"), count(F.col("maybe") & ~F.col("there")).alias("false_positive"), count(~F.col("maybe") & F.col("there")).alias("false_negative"), count(~F.col("maybe") & ~F.col("there")).alias("true_negative"))
+
+
+@query
+def merkle_leaves(spark, sf_dir):
+    return merkle.leaves(_runs(spark, sf_dir), C.memtable_threshold).select("sstable", "idx", "hash")
+
+
+@query
+def merkle_root(spark, sf_dir):
+    leaf = merkle.leaves(_runs(spark, sf_dir), C.memtable_threshold)
+    return merkle.roots(merkle.nodes(leaf, C.memtable_threshold)).select("sstable", "root")
+
+
+@query
+def merkle_preorder(spark, sf_dir):
+    leaf = merkle.leaves(_runs(spark, sf_dir), C.memtable_threshold)
+    return merkle.preorder(merkle.nodes(leaf, C.memtable_threshold)).select("sstable", "place", "hash")
+
+
+@query
+def crc_verify(spark, sf_dir):
+    """Rows whose stored checksum doesn't fit, after a record has gone through its byte layout."""
+    from ..sources.record_files import data_record
+
+    rec = events_log(spark, sf_dir).select("value", data_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value")).alias("r"))
+    stored = F.conv(F.concat(*[F.hex(F.expr(f"substring(r, {4 - k}, 1)")) for k in range(4)]), 16, 10).cast("long")
+    return rec.agg(F.count("*").alias("n"), F.sum((stored != value_crc(F.col("value"))).cast("long")).alias("bad"))
+
+
+@query
+def compaction_merge_pair(spark, sf_dir):
+    merged = compaction.merge_step(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), 1, bottom=False)
+    return merged.filter("level = 2").select("sstable", *RECORD)
+
+
+@query
+def compaction_levels(spark, sf_dir):
+    return compaction.compact(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), LEVELS).select("level", "sstable", *RECORD)
+
+
+@query
+def compaction_keeps_snapshot(spark, sf_dir):
+    """The live snapshot read from compacted runs."""
+    out = compaction.compact(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), LEVELS)
+    return resolve.snapshot(out).select("key", "value", "ts")
+
+
+@query
+def hll_registers(spark, sf_dir):
+    return sketches.hll_registers(_lineitem(spark, sf_dir), F.col("item"), HLL_P)
+
+
+@query
+def hll_estimate(spark, sf_dir):
+    r = sketches.hll_registers(_lineitem(spark, sf_dir), F.col("item"), HLL_P)
+    return sketches.hll_estimate(r, HLL_P).select(F.round("estimate", 4).alias("estimate"))
+
+
+@query
+def hll_estimate_rank0(spark, sf_dir):
+    r = sketches.hll_registers(_lineitem(spark, sf_dir), F.col("item"), HLL_P, rank_offset=0)
+    return sketches.hll_estimate(r, HLL_P).select(F.round("estimate", 4).alias("estimate"))
+
+
+@query
+def hll_by_flag(spark, sf_dir):
+    """A sketch for each group, in one pass."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_partkey").cast("string").alias("item"))
+    r = sketches.hll_registers(d, F.col("item"), HLL_P, by=("l_returnflag",))
+    return sketches.hll_estimate(r, HLL_P, by=("l_returnflag",)).select("l_returnflag", F.round("estimate", 4).alias("estimate"))
+
+
+@query
+def hll_builtin(spark, sf_dir):
+    """Spark's own sketch, of 2**12 registers, against the exact count: within five standard errors."""
+    return _lineitem(spark, sf_dir).agg(F.hll_sketch_estimate(F.hll_sketch_agg("item", F.lit(12))).alias("e"), F.count_distinct("item").alias("n")).select((F.abs(F.col("e") - F.col("n")) <= F.col("n") * 5 * 1.04 / 64).alias("within_bound"))
+
+
+@query
+def cms_cells(spark, sf_dir):
+    return sketches.cms(_lineitem(spark, sf_dir), F.col("item"), CMS_DEPTH, CMS_WIDTH)
+
+
+def _frequency(spark, sf_dir, independent_rows=True):
+    d = _lineitem(spark, sf_dir)
+    cells = sketches.cms(d, F.col("item"), CMS_DEPTH, CMS_WIDTH, independent_rows)
+    return sketches.cms_frequency(cells, d.distinct(), CMS_DEPTH, CMS_WIDTH, independent_rows)
+
+
+@query
+def cms_frequency(spark, sf_dir):
+    return _frequency(spark, sf_dir)
+
+
+@query
+def cms_frequency_shared_seed(spark, sf_dir):
+    return _frequency(spark, sf_dir, independent_rows=False)
+
+
+@query
+def cms_error(spark, sf_dir):
+    exact = _lineitem(spark, sf_dir).groupBy("item").agg(F.count("*").alias("exact"))
+    return _frequency(spark, sf_dir).join(exact, "item").select("item", "exact", (F.col("estimate") - F.col("exact")).alias("error"))
+
+
+@query
+def lru_hits(spark, sf_dir):
+    h = folds.lru(events_log(spark, sf_dir).filter("not tombstone"), C.cache_capacity)
+    return h.groupBy("key").agg(F.count("*").alias("puts"), F.sum(F.col("hit").cast("long")).alias("hits"))
+
+
+@query
+def lru_with_deletes(spark, sf_dir):
+    h = folds.lru(events_log(spark, sf_dir), C.cache_capacity)
+    return h.select(F.col("ord.tie").alias("event_id"), "hit", "state")
+
+
+@query
+def lru_final_state(spark, sf_dir):
+    """The cached keys after all puts, most recent first: the last distinct keys of the log."""
+    last = events_log(spark, sf_dir).filter("not tombstone").groupBy("key").agg(F.max("ord").alias("ord"))
+    top = last.orderBy(F.desc("ord")).limit(C.cache_capacity)
+    return top.agg(F.sort_array(F.collect_list(F.struct("ord", "key")), False).alias("a")).select(F.posexplode("a").alias("place", "e")).select(F.col("place").cast("long").alias("place"), F.col("e.key").alias("key"))
+
+
+@query
+def rate_limit_admitted(spark, sf_dir):
+    r = folds.rate_limit(events_log(spark, sf_dir), C.token_bucket_max_token_num, 60 * C.token_bucket_reset_interval)
+    return r.select(F.col("ord.tie").alias("event_id"), "admitted", "window_start")
+
+
+@query
+def rate_limit_costs(spark, sf_dir):
+    """A delete asks for two tokens: one of its own and one of the lookup it makes."""
+    r = folds.rate_limit(events_log(spark, sf_dir), 2, 3600, {"delete": 2})
+    return r.groupBy("op").agg(F.count("*").alias("n"), F.sum(F.col("admitted").cast("long")).alias("admitted"))
+
+
+@query
+def sketch_namespace(spark, sf_dir):
+    """Keys under which sketches of live keys would be created: those that aren't there yet."""
+    live = resolve.snapshot(events_log(spark, sf_dir)).select("key")
+    wanted = live.select(F.explode(F.array(F.concat("key", F.lit("_hll")), F.concat("key", F.lit("_cms")))).alias("key"))
+    return wanted.join(live, "key", "left_anti").withColumn("kind", F.substring_index("key", "_", -1))
+
+
+@query
+def element_format(spark, sf_dir):
+    """Records as printed lines; the checksum, which SQL lacks, is cut out."""
+    s = resolve.snapshot(events_log(spark, sf_dir))
+    text = runs.element_text(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value"))
+    return s.select("key", F.regexp_replace(text, r"^CRC: \d+: ", "").alias("line"))
