@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, prior: float | None =
 
     At most about MOST_POSITIVES rows labelled 1 and MOST_UNLABELLED rows, whatever their label, drawn by a hash of the
     id. prior: the share of positives; None estimates it as the share among the labelled rows outside the fold, which
-    says nothing of single rows. Null labels and ids are passed over; an id that is labelled more than once counts for
-    each. Without a positive row the model scores 0.
+    says nothing of single rows. Null labels and ids are passed over; an id that is labelled more than once counts once
+    in the sample. Without a positive row the model scores 0.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).alias("label")).filter("label is not null and doc_id is not null")
     known = known.filter(~held_out(F.col("doc_id"), *fold))
@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, prior: float | None =
     drawn = lambda n, most, salt: F.pmod(F.xxhash64("doc_id", F.lit(seed + salt)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
     ids = known.filter("label = 1").filter(drawn(n_pos, MOST_POSITIVES, 0)).select("doc_id", F.lit(True).alias("positive"))
     ids = ids.union(d.filter(drawn(n_all, MOST_UNLABELLED, 1)).select("doc_id", F.lit(False)))
-    rows = d.join(ids, "doc_id").select("positive", "doc_id", "text").sortWithinPartitions("doc_id", "positive")
+    # distinct ids, drawn to a bounded number: small enough to broadcast, so no text is shuffled
+    rows = d.join(F.broadcast(ids.distinct()), "doc_id").select("positive", "doc_id", "text").sortWithinPartitions("doc_id", "positive")
     t = rows.select("positive", "text").mapInArrow(_sample_features, "positive boolean, dense array<float>, terms array<int>").toArrow()
     if not len(t):
         return nothing_known()
