@@ -8,32 +8,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ZERO = "0" * 40
+ARRAY_LEAVES = 4096
 
 
 def leaves(runs: DataFrame, pad_to: int) -> DataFrame:
-    """level, sstable, idx, hash: the value's SHA-1 in key order; zero leaves up to pad_to."""
-    own = runs.select("level", "sstable", (F.row_number().over(Window.partitionBy("level", "sstable").orderBy("key")) - 1).cast("long").alias("idx"), F.sha1(F.col("value").cast("binary")).alias("hash"))
-    n = own.groupBy("level", "sstable").agg(F.count("*").alias("_n"))
-    pad = n.filter(F.col("_n") < pad_to).select("level", "sstable", F.explode(F.sequence(F.col("_n"), F.lit(pad_to - 1).cast("long"))).alias("idx"), F.lit(ZERO).alias("hash"))
-    return own.unionByName(pad)
+    """level, sstable, idx, hash: the value's SHA-1 in key order; zero leaves up to pad_to. One shuffle by run."""
+    pair = F.struct("key", F.sha1(F.col("value").cast("binary")).alias("hash"))
+    own = runs.groupBy("level", "sstable").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["hash"]).alias("a"))
+    padded = F.concat("a", F.array_repeat(F.lit(ZERO), F.greatest(F.lit(0), F.lit(pad_to) - F.size("a"))))
+    return own.select("level", "sstable", F.posexplode(padded).alias("idx", "hash")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def _parents(a):
+    """The level above an array of hashes; an odd last one goes up as it is."""
+
+    def parent(i):
+        left, right = F.element_at(a, 2 * i + 1), F.try_element_at(a, 2 * i + 2)
+        return F.when(right.isNull(), left).otherwise(F.sha1(F.unhex(F.concat(left, right))))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) + 1) / 2).cast("int") - 1), parent)
 
 
 def nodes(leaf: DataFrame, most_leaves: int) -> DataFrame:
     """level, sstable, tree_level (0: leaves), idx, hash. most_leaves: no run has more; it sets the number of levels.
 
-    An odd last node is its parent's only real child and passes its hash on. A run of one leaf has a parent too.
+    An odd last node is its parent's only real child and passes its hash on. A run of one leaf has a parent too. Runs of
+    up to ARRAY_LEAVES leaves are hashed as one array each, without a further shuffle; larger ones level by level.
     """
     depth = max(1, math.ceil(math.log2(max(2, most_leaves))))
-    now = leaf.withColumn("tree_level", F.lit(0))
-    out = now
+    if most_leaves > ARRAY_LEAVES:
+        return _nodes_by_level(leaf, depth)
+    pair = F.struct("idx", "hash")
+    t = leaf.groupBy("level", "sstable").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["hash"]).alias("l0"))
+    none = F.array().cast("array<string>")
+    for k in range(1, depth + 1):
+        below = F.col(f"l{k - 1}")
+        more = F.size(below) > 1 if k > 1 else F.size(below) > 0
+        t = t.withColumn(f"l{k}", F.when(more, _parents(below)).otherwise(none))
+    every = t.select("level", "sstable", F.posexplode(F.array(*[f"l{k}" for k in range(depth + 1)])).alias("tree_level", "hashes"))
+    return every.select("level", "sstable", "tree_level", F.posexplode("hashes").alias("idx", "hash")).select("level", "sstable", F.col("idx").cast("long").alias("idx"), "hash", "tree_level")
+
+
+def _nodes_by_level(leaf: DataFrame, depth: int) -> DataFrame:
+    now = leaf.withColumn("tree_level", F.lit(0)).withColumn("_more", F.lit(True))
+    out = now.drop("_more")
     for level in range(1, depth + 1):
         left, right = (F.max(F.when(F.col("idx") % 2 == side, F.col("hash"))) for side in (0, 1))
-        up = now.groupBy("level", "sstable", F.expr("idx div 2").alias("parent")).agg(left.alias("l"), right.alias("r"), F.max("_more").alias("_more")) if level > 1 else now.groupBy("level", "sstable", F.expr("idx div 2").alias("parent")).agg(left.alias("l"), right.alias("r"), F.lit(True).alias("_more"))
-        up = up.filter("_more")
-        up = up.select("level", "sstable", F.col("parent").alias("idx"), F.when(F.col("r").isNull(), F.col("l")).otherwise(F.sha1(F.unhex(F.concat("l", "r")))).alias("hash"), F.lit(level).alias("tree_level"))
+        up = now.filter("_more").groupBy("level", "sstable", F.expr("idx div 2").alias("parent")).agg(left.alias("l"), right.alias("r"))
+        hash_ = F.when(F.col("r").isNull(), F.col("l")).otherwise(F.sha1(F.unhex(F.concat("l", "r"))))
+        up = up.select("level", "sstable", F.col("parent").alias("idx"), hash_.alias("hash"), F.lit(level).alias("tree_level"))
         out = out.unionByName(up)
-        size = F.count("*").over(Window.partitionBy("level", "sstable"))
-        now = up.withColumn("_more", size > 1)
+        now = up.withColumn("_more", F.count("*").over(Window.partitionBy("level", "sstable")) > 1)
     return out
 
 

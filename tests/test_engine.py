@@ -153,8 +153,10 @@ def test_merkle_golden(spark, values, pad, lines, root):
     assert len(listed) == lines and listed[0] == root
 
 
+@pytest.mark.parametrize("most", [merkle.ARRAY_LEAVES, 0])
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7])
-def test_merkle_of_any_size(spark, n):
+def test_merkle_of_any_size(spark, n, most, monkeypatch):
+    monkeypatch.setattr(merkle, "ARRAY_LEAVES", most)
     def build(nodes):  # (hash, listing)
         up = []
         for i in range(0, len(nodes), 2):
