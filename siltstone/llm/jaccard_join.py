@@ -167,9 +167,13 @@ def _resolve(buckets: int):
 
 
 def _alive(percent: int):
-    """Of a bucket of documents: the shared n-grams of class representatives that have enough of them."""
+    """Of a bucket of documents: the shared n-grams of class representatives that have enough of them.
+
+    Rows on members and representatives go on as they are.
+    """
 
     def run(t: pa.Table) -> pa.Table:
+        through = [b for b in t.filter(pa.compute.is_in(t["kind"], pa.array(["member", "rep"]))).cast(ROW).to_batches() if len(b)]
         doc, n, rep = _read(t, ("rep",), "", "bcd")
         own = doc == rep
         order = np.argsort(doc[own])
@@ -177,7 +181,7 @@ def _alive(percent: int):
         h, owner = _read(t, ("shared",), "a", "b")
         at = np.minimum(np.searchsorted(doc, owner), max(len(doc) - 1, 0))
         if not len(doc) or not len(h):
-            return ROW.empty_table()
+            return _table(through)
         ok = doc[at] == owner
         h, at = h[ok], at[ok]
         good = np.bincount(at, minlength=len(doc)) >= _need(n, percent)
@@ -188,7 +192,7 @@ def _alive(percent: int):
         new = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))[: len(h)]
         h, at = h[new], at[new]
         bucket = np.full(len(h), t["bucket"][0].as_py(), np.int64)
-        return _table(_rows("alive", bucket, int(bucket.max(initial=0)) + 1, a=h, b=doc[at], c=n[at]))
+        return _table([*through, *_rows("alive", bucket, int(bucket.max(initial=0)) + 1, a=h, b=doc[at], c=n[at])])
 
     return run
 
@@ -262,9 +266,10 @@ def _unpack(batches):
             yield pa.record_batch([pa.array(K.unpack_ints(x)) for x in (b, c, d)], schema=schema)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: int | None = None) -> DataFrame:
     """doc, component: the smallest id reachable over links (a, b); documents without links are left out.
 
+    steps: stop after so many rounds; then the component is some id that the document is connected to.
     Alternating large-star and small-star steps; each is an aggregate and a join, written out. Nothing is collected but
     two sums that tell whether anything has changed.
     """
@@ -277,6 +282,8 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         edges = edges.join(least, "a")
         edges = written(edges.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "edges")  # small star
+        if steps is not None and (steps := steps - 1) <= 0:
+            return edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("component"))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("doc"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
@@ -337,7 +344,7 @@ def _links(sets: DataFrame, percent: int, fragments: int) -> DataFrame | None:
         tried = candidates if tried is None else tried.union(candidates)
         links = linked if links is None else links.union(linked)
         if turn < HUB_ROUNDS:
-            labels = components(links)
+            labels = components(links, steps=1)
     return links
 
 
@@ -353,8 +360,9 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     d = text_of(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     buckets = buckets_for(d, 2 << 20, least=64)
     rows = d.mapInArrow(_shingle(width, buckets), ROW_SQL)
-    found = written(rows.groupBy("bucket").applyInArrow(_resolve(buckets), ROW_SQL), "shared")
-    alive = written(found.filter("kind in ('rep', 'shared')").groupBy("bucket").applyInArrow(_alive(percent), ROW_SQL), "alive")
+    shared = rows.groupBy("bucket").applyInArrow(_resolve(buckets), ROW_SQL)
+    found = written(shared.groupBy("bucket").applyInArrow(_alive(percent), ROW_SQL), "alive")
+    alive = found.filter("kind = 'alive'")
     frequencies = alive.mapInArrow(_local_counts(buckets), ROW_SQL).groupBy("bucket").applyInArrow(_frequencies(buckets), ROW_SQL)
     sets = written(alive.union(frequencies).groupBy("bucket").applyInArrow(_sets(percent), SETS_SQL), "sets")
     unpacked = lambda kind: found.filter(F.col("kind") == kind).mapInArrow(_unpack, "doc long, n long, parent long")
