@@ -21,7 +21,7 @@ from .common import held_out, text_of
 BITS = 18
 MOST_POSITIVES = 4_000
 MOST_UNLABELLED = 8_000
-STEPS = 300
+STEPS = 600
 MOST_TERMS = 2_000
 PUNCTUATION = np.flatnonzero(np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(128)]))
 N_DENSE = 10 + len(PUNCTUATION)
