@@ -199,13 +199,13 @@ def _rows_of(t: pa.Table, begin: np.ndarray, sizes: np.ndarray):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, items_sha256, spans, contaminated: one row for each row of docs with an id.
+    """doc_id, n_words, n_hit, n_items, items, items_sha256, spans, contaminated: one row for each id of docs.
 
     A-Z is lowered; words are runs of ASCII digits and letters and of other characters beyond ASCII. A phrase: width
     consecutive words of an item; an item of fewer words, but not none, is one phrase. Words inside an occurrence are
     hit; contaminated: share * n_hit >= n_words > 0 with a hit. spans: begin and end words of the hit intervals, flat.
-    Null is an empty text; a document without words has no hits. Rows with a null id are left out; ids are expected to
-    be unique. Items with a null id or text are passed over; items that repeat are counted once for each id. Other
+    Null is an empty text; a document without words has no hits. Rows with a null id are left out; rows that repeat an
+    id are expected to have the same text and come out as one. Items with a null id or text are passed over; items that repeat are counted once for each id. Other
     columns are ignored. With slop, a phrase's words may each stand that many places off, and spans are that much wider.
     The benchmark is read by the driver block by block, each of bounded size.
     """

@@ -354,8 +354,8 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     A-Z is lowered; words are runs of other characters than space and \\x09 to \\x0D. The set of a document: its distinct
     n-grams of width words, or all its words as one if it has fewer. Documents without words (null, empty or blank text)
     have an empty set and link with nothing. Two sets link when 100 * |intersection| >= percent * |union|. class_id: the
-    smallest id with an equal set; component_id: the smallest id reachable by links. Ids are expected to be unique; rows
-    with a null id are left out. Other columns are ignored; an empty table gives no rows.
+    smallest id with an equal set; component_id: the smallest id reachable by links. Rows that
+    repeat an id are expected to have the same text; rows with a null id are left out. Other columns are ignored; an empty table gives no rows.
     """
     d = text_of(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     buckets = buckets_for(d, 2 << 20, least=64)
@@ -368,7 +368,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     unpacked = lambda kind: found.filter(F.col("kind") == kind).mapInArrow(_unpack, "doc long, n long, parent long")
     reps, members = unpacked("rep"), unpacked("member")
     empty = members.filter("n = 0").select("doc", "n", F.col("doc").alias("class_id"))
-    copies = members.filter("n > 0").join(reps.select(F.col("doc").alias("parent"), F.col("parent").alias("class_id")), "parent").select("doc", "n", "class_id")
+    copies = members.filter("n > 0").join(reps.select(F.col("doc").alias("parent"), F.col("parent").alias("class_id")).distinct(), "parent").select("doc", "n", "class_id")
     every = empty.union(copies).union(reps.select("doc", "n", F.col("parent").alias("class_id")))
     links = _links(sets, percent, fragments)
     if links is None:

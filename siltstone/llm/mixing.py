@@ -86,11 +86,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them, with their columns: a row for each epoch, and the text cut where the budget ends.
 
-    Rows from which nothing is taken are left out. Ids are expected to be unique.
+    Rows from which nothing is taken are left out. Rows that repeat an id, or have none, each take what the one of them
+    does that takes most.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    m = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
-    rows = docs.join(m, docs[id_col].cast("long") == m["__mix_id"])
+    m = mix(docs, **options).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max(F.struct(F.col("taken").alias("t"), F.col("size").alias("s"))).alias("__mix")).filter("__mix.t > 0")
+    m = m.select("__mix_id", F.col("__mix.s").alias("__mix_size"), F.col("__mix.t").alias("__mix_taken"))
+    rows = docs.join(m, docs[id_col].cast("long").eqNullSafe(m["__mix_id"]))
     copies = F.expr("sequence(0L, (__mix_taken - 1) div __mix_size)")
     rows = rows.withColumn("__mix_copy", F.explode(copies)).withColumn("__mix_left", F.col("__mix_taken") - F.col("__mix_copy") * F.col("__mix_size"))
     cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("__mix_left")).cast("int")))
