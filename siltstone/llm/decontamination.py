@@ -31,6 +31,7 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begins", pa
 GAP = 64  # places between documents, so that no match reaches from one into the next
 
 
+@K.tidy
 def _index(batches):
     schema = pa.schema([(c, pa.binary()) for c in ("docs", "firsts", "terms", "counts", "postings")])
     zip_ = zstandard.ZstdCompressor(level=1).compress
@@ -118,6 +119,7 @@ def _match(terms, counts, postings, phrases: Phrases, slop: int):
 def _search(phrases: Phrases, slop: int, all_docs: bool):
     """Rows of hits; with all_docs, also a row with the number of words of each document (item null)."""
 
+    @K.tidy
     def run(batches):
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:

@@ -100,6 +100,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingle(width: int, buckets: int):
+    @K.tidy
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -360,11 +361,11 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     d = text_of(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     buckets = buckets_for(d, 2 << 20, least=64)
     rows = d.mapInArrow(_shingle(width, buckets), ROW_SQL)
-    shared = rows.groupBy("bucket").applyInArrow(_resolve(buckets), ROW_SQL)
-    found = written(shared.groupBy("bucket").applyInArrow(_alive(percent), ROW_SQL), "alive")
+    shared = rows.groupBy("bucket").applyInArrow(K.tidy_group(_resolve(buckets)), ROW_SQL)
+    found = written(shared.groupBy("bucket").applyInArrow(K.tidy_group(_alive(percent)), ROW_SQL), "alive")
     alive = found.filter("kind = 'alive'")
-    frequencies = alive.mapInArrow(_local_counts(buckets), ROW_SQL).groupBy("bucket").applyInArrow(_frequencies(buckets), ROW_SQL)
-    sets = written(alive.union(frequencies).groupBy("bucket").applyInArrow(_sets(percent), SETS_SQL), "sets")
+    frequencies = alive.mapInArrow(_local_counts(buckets), ROW_SQL).groupBy("bucket").applyInArrow(K.tidy_group(_frequencies(buckets)), ROW_SQL)
+    sets = written(alive.union(frequencies).groupBy("bucket").applyInArrow(K.tidy_group(_sets(percent)), SETS_SQL), "sets")
     unpacked = lambda kind: found.filter(F.col("kind") == kind).mapInArrow(_unpack, "doc long, n long, parent long")
     reps, members = unpacked("rep"), unpacked("member")
     empty = members.filter("n = 0").select("doc", "n", F.col("doc").alias("class_id"))

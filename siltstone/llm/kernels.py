@@ -6,12 +6,16 @@ taken from prefix sums, then mixed. Work goes in chunks of a few MB, so memory d
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 
 U = np.uint64
 CHUNK = 4 << 20
+HASHED = 1 << 20  # bytes that are hashed at once
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASES = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -32,6 +36,45 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function of batches that trims when it is through."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+_GROUPS = [0]
+
+
+def tidy_group(run):
+    """A function of a group's table that trims now and then."""
+
+    @wraps(run)
+    def tidied(t):
+        out = run(t)
+        _GROUPS[0] += 1
+        if _GROUPS[0] % 16 == 0:
+            trim()
+        return out
+
+    return tidied
+
+
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64 for i <= n."""
     have = _POWERS.get(int(base))
@@ -44,7 +87,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.cumprod(p, dtype=U))
         have = _POWERS[int(base)] = (out[0], out[1])
-        if size > 4 * CHUNK:  # for one huge word or text; not kept
+        if size > 4 * HASHED:  # for one huge word; not kept
             del _POWERS[int(base)]
     return have
 
@@ -115,7 +158,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.u
     i = 0
     while i < len(starts):
         lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, lo + HASHED, "right")))
         hi = int(ends[j - 1])
         p, inv = powers(base, hi - lo + 1)
         sums = np.zeros(hi - lo + 1, U)
@@ -132,7 +175,7 @@ def windows(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U)
     out = np.empty(n, U)
-    step = 1 << 20
+    step = 1 << 18
     p, inv = powers(base, min(n, step) + width)
     for i in range(0, n, step):
         part = h[i : min(n, i + step) + width - 1]

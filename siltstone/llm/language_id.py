@@ -238,12 +238,13 @@ def train(docs: DataFrame, fold: tuple[int, int] = (4, 2), seed: int = 3, sample
 
 
 def _predict(model: Model):
+    @K.tidy
     def run(batches):
         for batch in batches:
             col = batch.column(batch.schema.get_field_index("text"))
             _, offsets = K.text_buffer(col)
             lang, score = [], []
-            for i, j in K.chunks(offsets):
+            for i, j in K.chunks(offsets, 2 << 20):
                 names, s = model.score(col.slice(i, j - i).fill_null(""))
                 lang += names
                 score.append(s)

@@ -19,6 +19,7 @@ from . import kernels as K
 from .common import held_out, text_of
 
 BITS = 18
+CHUNK = 1 << 20
 MOST_POSITIVES = 4_000
 MOST_UNLABELLED = 8_000
 STEPS = 600
@@ -77,10 +78,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return dense, owner, term.astype(np.int64)
 
 
+@K.tidy
 def _sample_features(batches):
     for batch in batches:
         label = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, buf, offsets in K.texts(batch, "text"):
+        for i, buf, offsets in K.texts(batch, "text", CHUNK):
             dense, owner, term = features(buf, offsets)
             n = len(dense)
             bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
@@ -204,9 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, prior: float | None =
 
 
 def _score(model: Model):
+    @K.tidy
     def run(batches):
         for batch in batches:
-            out = [model.score(buf, offsets) for _, buf, offsets in K.texts(batch, "text")]
+            out = [model.score(buf, offsets) for _, buf, offsets in K.texts(batch, "text", CHUNK)]
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate([*out, np.zeros(0)]))], ["doc_id", "score"])
 
     return run

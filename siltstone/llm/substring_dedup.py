@@ -47,6 +47,7 @@ def _by_doc(doc: np.ndarray, start: np.ndarray) -> pa.Table:
 
 
 def _hash_windows(buckets: int, width: int):
+    @K.tidy
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -102,12 +103,13 @@ def window_starts(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, starts (packed): windows of docs (doc_id, text) whose words a smaller document has in one run too."""
     buckets = buckets_for(docs, 2 << 20, least=256)
     blocks = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_hash_windows(buckets, width), "bucket int, doc_id long, hashes binary, docs binary, starts binary")
-    return blocks.groupBy("bucket").applyInArrow(_repeats, "doc_id long, starts binary")
+    return blocks.groupBy("bucket").applyInArrow(K.tidy_group(_repeats), "doc_id long, starts binary")
 
 
 def _cut(width: int, with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string()), *[("kept_text", pa.string())] * with_text])
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             rows: list[list] = [[] for _ in schema.names]

@@ -75,7 +75,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.counts, self.ids = np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.at, self.counts, self.ids = np.zeros(0, K.U), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
@@ -101,12 +101,12 @@ class Encoder:
             self.ids = np.concatenate([self.ids, *got])
             keys = np.append(self.keys, h[new])
             order = np.argsort(keys, kind="stable")
-            self.keys, self.at, self.counts = keys[order], np.append(self.at, at)[order], np.append(self.counts, counts)[order]
+            self.keys, self.at, self.counts = keys[order], np.append(self.at, at.astype(np.uint32))[order], np.append(self.counts, counts.astype(np.uint32))[order]
         place = np.searchsorted(self.keys, h)[of]
-        counts = self.counts[place]
+        counts = self.counts[place].astype(np.int64)
         total = np.append(0, np.cumsum(counts))
         per_text = total[np.searchsorted(bounds, offsets)]
-        return self.ids[K.ragged(self.at[place], counts)], np.diff(per_text)
+        return self.ids[K.ragged(self.at[place].astype(np.int64), counts)], np.diff(per_text)
 
 
 def encoder(path: str) -> Encoder:
@@ -154,6 +154,7 @@ class _Writer:
 
 
 def _write(directory: str, tokenizer: str):
+    @K.tidy
     def run(batches):
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}.s8b"
@@ -165,7 +166,7 @@ def _write(directory: str, tokenizer: str):
                 opened = new_file(directory, name)
                 writer = _Writer(opened.__enter__())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, buf, offsets in K.texts(batch, "text"):
+            for i, buf, offsets in K.texts(batch, "text", 2 << 20):
                 tokens, n = encoder(tokenizer).encode(buf, offsets)
                 ends = np.cumsum(n)
                 writer.add(ids[i : i + len(n)], np.insert(tokens, ends, END_ID), n + 1)
