@@ -13,8 +13,10 @@ partial overlaps on its own, and a pair's counts are summed. The steps:
 4. Candidates come from prefixes. In the first rounds each set is compared with one hub only (of its prefix lists, the
    most shared set); links join components, and sets in one component need no more comparing. The last round compares
    all pairs that share prefix n-grams, pass the size and position filters and are in different components. So all
-   links between components are found, though not all pairs within a group are made.
+   links between components are found, which settles the components.
 5. Candidates meet fragment by fragment: partial overlap there, sum over fragments, exact integer threshold.
+6. Linked sets are always in one component, so all links are found there: a component's sets are dealt into blocks, each
+   pair of blocks meets once, and every pair's overlap is counted, again in pieces of the n-gram order that are summed.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import buckets_for, text_of, written
 
 FRAGMENTS = 4
 HUB_ROUNDS = 2
+BLOCK_SETS, BLOCK_GRAMS = 1 << 10, 1 << 19  # of a component's block, about
+CELLS = 1 << 22  # of a matrix of sets and n-grams
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 ROW_SQL = "bucket int, kind string, a binary, b binary, c binary, d binary"
 
@@ -349,15 +353,125 @@ def _links(sets: DataFrame, percent: int, fragments: int) -> DataFrame | None:
     return links
 
 
-def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id: one row for each row of docs with an id.
+def _overlaps(flat: np.ndarray, size: np.ndarray, left: slice, right: slice) -> np.ndarray:
+    """Common n-grams of each set of left with each of right; sets are runs of flat, of the given sizes."""
+    owner = np.repeat(np.arange(len(size)), size)
+    _, gram, count = np.unique(flat, return_inverse=True, return_counts=True)
+    several = count > 1
+    keep = several[gram]
+    owner, gram = owner[keep], (np.cumsum(several) - 1)[gram[keep]]
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    kind = np.float32 if size.max(initial=0) < 1 << 24 else np.float64
+    sums = np.zeros((len(size[left]), len(size[right])), kind)
+    width = max(64, CELLS // max(1, len(size)))
+    for lo in range(0, int(several.sum()), width):
+        at = slice(*np.searchsorted(gram, [lo, lo + width]))
+        has = np.zeros((len(size), int(gram[at][-1]) - lo + 1), kind)
+        has[owner[at], gram[at] - lo] = 1
+        sums += has[left] @ has[right].T
+    return sums.astype(np.int64)
+
+
+def _compare(percent: int, pairs: bool):
+    """Of two blocks of a component, or of a bucket of small components: all links. As pairs, or as sums of weights by set."""
+    schema = pa.schema([(c, pa.int64()) for c in (("a", "b", "overlap") if pairs else ("doc", "linked"))])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("component", "ascending"), ("block", "ascending"), ("doc", "ascending")])
+        component, block, doc, n, weight = (t[c].to_numpy() for c in ("component", "block", "doc", "n", "weight"))
+        grams = t["grams"].combine_chunks()
+        flat, size = grams.flatten().to_numpy(), grams.value_lengths().to_numpy().astype(np.int64)
+        place = np.append(0, np.cumsum(size))
+        two = t["i"][0].as_py() != t["j"][0].as_py()
+        begin = np.append(np.flatnonzero(np.append(True, component[1:] != component[:-1])), len(doc))
+        out = []
+        for s, e in zip(begin, begin[1:]):
+            cut = int(np.searchsorted(block[s:e], block[s], "right")) if two else 0
+            x, y = (slice(0, cut), slice(cut, e - s)) if two else (slice(0, e - s),) * 2
+            if two and t["i"][0].as_py() != block[s] or two and cut == e - s:
+                continue  # one of the blocks is empty
+            sums = _overlaps(flat[place[s] : place[e]], size[s:e], x, y)
+            links = 100 * sums >= percent * (n[s:e][x][:, None] + n[s:e][y][None, :] - sums)
+            if not two:
+                links = np.triu(links, 1)
+            a, b = np.nonzero(links)
+            d, w = doc[s:e], weight[s:e]
+            if pairs:
+                a, b, overlap = d[x][a], d[y][b], sums[a, b]
+                out.append((np.minimum(a, b), np.maximum(a, b), overlap))
+            else:
+                total = np.zeros(e - s, np.int64)
+                total[x] += links @ w[y]
+                total[y] += w[x] @ links
+                out.append((d, total))
+        return pa.table([np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(len(schema))], schema=schema)
+
+    return run
+
+
+def _within(sets: DataFrame, labels: DataFrame, weights: DataFrame, percent: int, pairs: bool = False) -> DataFrame:
+    """All links of the sets in each component (labels: doc, component): a, b, overlap; or doc and its links' weights, linked.
+
+    A component of more than a block is dealt into blocks by a hash, and its pairs of blocks go to different tasks.
+    """
+    own = sets.select("doc", "n", "c", "grams").join(labels, "doc").join(weights, "doc")
+    span = sets.select("doc", "c").join(labels, "doc").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("c") / BLOCK_GRAMS)).alias("blocks"), F.sum("c").alias("grams_of"))
+    span = written(span, "span")
+    buckets = max(64, (span.agg(F.sum("grams_of")).first()[0] or 0) // BLOCK_GRAMS + 1)
+    own = own.join(span.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), "blocks"))
+    small = own.filter("blocks = 1").select("component", "block", "doc", "n", "weight", "grams", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("key"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
+    large = own.filter("blocks > 1").select("component", "block", "doc", "n", "weight", "grams", F.col("component").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    return small.union(large.select(small.columns)).groupBy("key", "i", "j").applyInArrow(K.tidy_group(_compare(percent, pairs)), "a long, b long, overlap long" if pairs else "doc long, linked long")
+
+
+def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS, with_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, n_links: one row for each row of docs with an id.
 
     A-Z is lowered; words are runs of other characters than space and \\x09 to \\x0D. The set of a document: its distinct
     n-grams of width words, or all its words as one if it has fewer. Documents without words (null, empty or blank text)
     have an empty set and link with nothing. Two sets link when 100 * |intersection| >= percent * |union|. class_id: the
-    smallest id with an equal set; component_id: the smallest id reachable by links. Rows that
+    smallest id with an equal set; component_id: the smallest id reachable by links; n_links: the number of other ids it
+    links with, equal sets among them (not there without with_links, which needs no more links than tell components). Rows that
     repeat an id are expected to have the same text; rows with a null id are left out. Other columns are ignored; an empty table gives no rows.
     """
+    every, sets = _classes(docs, width, percent, id_col, text_col)
+    links = _links(sets, percent, fragments)
+    if links is None:
+        out = every.withColumn("component", F.col("class_id"))
+    else:
+        labels = written(components(links), "labels")
+        out = every.join(labels.withColumnRenamed("doc", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    columns = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id")]
+    if not with_links:
+        return out.select(*columns)
+    weights = _weights(every)
+    if links is None:
+        out = out.withColumn("linked", F.lit(0).cast("long"))
+    else:
+        linked = written(_within(sets, labels, weights, percent).groupBy("doc").agg(F.sum("linked").alias("linked")), "linked")
+        out = out.join(linked.withColumnRenamed("doc", "class_id"), "class_id", "left")
+    out = out.join(weights.withColumnRenamed("doc", "class_id"), "class_id", "left")
+    return out.select(*columns, (F.coalesce("linked", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"))
+
+
+def similar_pairs(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
+    """a, b, overlap: all links of class representatives (see similar_sets), a < b, with their number of common n-grams."""
+    every, sets = _classes(docs, width, percent, id_col, text_col)
+    links = _links(sets, percent, fragments)
+    if links is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
+    return _within(sets, written(components(links), "labels"), _weights(every), percent, pairs=True)
+
+
+def _weights(every: DataFrame) -> DataFrame:
+    """doc, weight: the number of ids in the class of a representative; empty sets are in none."""
+    return every.filter("n > 0").groupBy(F.col("class_id").alias("doc")).agg(F.count_distinct("doc").alias("weight"))
+
+
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc, n, class_id of each row; and the sets of representatives that may link."""
     d = text_of(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
     buckets = buckets_for(d, 2 << 20, least=64)
     rows = d.mapInArrow(_shingle(width, buckets), ROW_SQL)
@@ -371,16 +485,11 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     empty = members.filter("n = 0").select("doc", "n", F.col("doc").alias("class_id"))
     copies = members.filter("n > 0").join(reps.select(F.col("doc").alias("parent"), F.col("parent").alias("class_id")).distinct(), "parent").select("doc", "n", "class_id")
     every = empty.union(copies).union(reps.select("doc", "n", F.col("parent").alias("class_id")))
-    links = _links(sets, percent, fragments)
-    if links is None:
-        out = every.withColumn("component", F.col("class_id"))
-    else:
-        out = every.join(components(links).withColumnRenamed("doc", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
+    return every, sets
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of linked sets, the one with the smallest id; rows with a null id stay."""
     id_col = options.get("id_col", "doc_id")
-    found = similar_sets(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias("__copy_id"))
+    found = similar_sets(docs, **options, with_links=False).filter("doc_id != component_id").select(F.col("doc_id").alias("__copy_id"))
     return docs.join(found, docs[id_col].cast("long") == found["__copy_id"], "left_anti").select(*docs.columns)

@@ -42,6 +42,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join's number of links of each document, which the columns of the SQL for op6 don't have."""
+    return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, ngram_jaccard_links, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
