@@ -58,12 +58,24 @@ def summary(runs: DataFrame) -> DataFrame:
 def prune(summaries: DataFrame, probes: DataFrame) -> DataFrame:
     """Of each probe (key, unique): runs whose key range may hold it, and runs that needn't be read.
 
-    A set of probes of a stated size against the summaries, which have a row for each run.
+    Runs that begin at the key or before it, less those that end before it: running sums over keys, in ranges of keys
+    whose bounds are a few keys drawn by hash. No probe meets a run, so any number of probes goes.
     """
-    kept = probes.join(summaries, F.col("key").between(F.col("first_key"), F.col("last_key"))).groupBy("key").agg(F.count("*").alias("kept"))
+    zero = F.lit(0).cast("long")
+    began = summaries.groupBy(F.col("first_key").alias("key")).agg(F.count("*").alias("began")).select("key", "began", zero.alias("ended"), F.lit(False).alias("probed"))
+    ended = summaries.groupBy(F.col("last_key").alias("key")).agg(F.count("*").alias("ended")).select("key", zero.alias("began"), "ended", F.lit(False).alias("probed"))
+    wanted = probes.select("key", zero.alias("began"), zero.alias("ended"), F.lit(True).alias("probed"))
+    points = began.union(ended).union(wanted).groupBy("key").agg(F.sum("began").alias("began"), F.sum("ended").alias("ended"), F.max("probed").alias("probed"))
+    pieces = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pivots = [r["key"] for r in points.select("key").orderBy(F.xxhash64("key"), "key").limit(min(pieces, 1000)).toLocalIterator()]
+    part = F.size(F.filter(F.array(*map(F.lit, pivots)), lambda p: p <= F.col("key"))) if pivots else F.lit(0)
+    points = points.withColumn("_part", part)
+    sums = points.groupBy("_part").agg(F.sum("began").alias("_b"), F.sum("ended").alias("_e"))
+    below = sums.alias("c").join(sums.alias("b"), F.expr("b._part < c._part"), "left").groupBy("c._part").agg(F.coalesce(F.sum(F.col("b._b") - F.col("b._e")), F.lit(0)).alias("_below"))
+    w = Window.partitionBy("_part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    kept = points.withColumn("_here", F.sum("began").over(w) - F.sum("ended").over(w) + F.col("ended")).filter("probed").join(F.broadcast(below), "_part")  # a row for each range
     total = summaries.agg(F.count("*").alias("_all"))
-    out = probes.join(kept, "key", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    return out.crossJoin(F.broadcast(total)).withColumn("pruned", F.col("_all") - F.col("kept")).drop("_all")  # one row
+    return kept.crossJoin(F.broadcast(total)).select("key", (F.col("_below") + F.col("_here")).alias("kept"), (F.col("_all") - F.col("_below") - F.col("_here")).alias("pruned"))  # one row
 
 
 #: Names of a run's files, by fixed pattern; L is the level.
@@ -94,6 +106,25 @@ def bloom_probe(filters: DataFrame, probes: DataFrame, m: int, k: int) -> DataFr
     return every.select("level", "sstable", "key", F.forall("_at", lambda x: F.array_contains("positions", x)).alias("maybe"))
 
 
+def bloom_outcomes(runs: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
+    """Of each probe (key, unique): the runs by what the filter says and what is true, as four counts.
+
+    No probe meets a run. Equal filters count together, as do probes of equal positions, of which m and k bound the number;
+    runs that hold a key are met by an equality join.
+    """
+    at = F.array_sort(F.array_distinct(F.array(*[F.pmod(hash32(i, F.col("key")), F.lit(m)) for i in range(k)])))
+    filters = bloom(runs, m, k)
+    kinds = filters.groupBy("positions").agg(F.count("*").alias("_runs"))
+    p = probes.withColumn("_at", at)
+    says = p.select("_at").distinct().crossJoin(kinds).filter(F.forall("_at", lambda x: F.array_contains("positions", x))).groupBy("_at").agg(F.sum("_runs").alias("_maybe"))
+    there = runs.select("level", "sstable", "key").join(probes, "key", "left_semi").withColumn("_at", at).join(filters, ["level", "sstable"])
+    there = there.groupBy("key").agg(F.count("*").alias("_there"), F.sum(F.forall("_at", lambda x: F.array_contains("positions", x)).cast("long")).alias("true_positive"))
+    total = filters.agg(F.count("*").alias("_all"))
+    out = p.join(says, "_at", "left").join(there, "key", "left").crossJoin(F.broadcast(total)).fillna(0, ["_maybe", "_there", "true_positive"])  # one row
+    false_positive, false_negative = F.col("_maybe") - F.col("true_positive"), F.col("_there") - F.col("true_positive")
+    return out.select("key", "true_positive", false_positive.alias("false_positive"), false_negative.alias("false_negative"), (F.col("_all") - F.col("_maybe") - false_negative).alias("true_negative"))
+
+
 def element_text(ts, tombstone, key, value):
     """A record as one printed line (a fixed format)."""
     return F.format_string(

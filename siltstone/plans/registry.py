@@ -34,9 +34,21 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that are looked up: every tenth user id, and as many that don't exist."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().filter("user_id % 10 = 0")
-    return e.select(F.explode(F.array(F.col("user_id").cast("string"), F.concat(F.lit("x"), F.col("user_id").cast("string")))).alias("key"))
+    """Keys that are looked up in queries with SQL, which has the same choice: every tenth user id, and as many that don't exist."""
+    return _twins(_ids(spark, sf_dir).filter("user_id % 10 = 0"))
+
+
+def _every_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user id, and as many keys that don't exist."""
+    return _twins(_ids(spark, sf_dir))
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+
+
+def _twins(ids: DataFrame) -> DataFrame:
+    return ids.select(F.explode(F.array(F.col("user_id").cast("string"), F.concat(F.lit("x"), F.col("user_id").cast("string")))).alias("key"))
 
 
 @query
@@ -64,6 +76,11 @@ def kv_multi_get(spark, sf_dir):
     return resolve.multi_get(events_log(spark, sf_dir), _probes(spark, sf_dir)).select("key", "found", "value")
 
 
+@query
+def kv_multi_get_all(spark, sf_dir):
+    return resolve.multi_get(events_log(spark, sf_dir), _every_probe(spark, sf_dir)).select("key", "found", "value")
+
+
 @query
 def kv_deleted_keys(spark, sf_dir):
     return resolve.latest_per_key(events_log(spark, sf_dir)).filter("tombstone").select("key", "ts")
@@ -135,12 +152,22 @@ def summary_prune(spark, sf_dir):
     return runs.prune(runs.summary(_runs(spark, sf_dir)), _probes(spark, sf_dir))
 
 
+@query
+def summary_prune_all(spark, sf_dir):
+    return runs.prune(runs.summary(_runs(spark, sf_dir)), _every_probe(spark, sf_dir))
+
+
 @query
 def index_lookup(spark, sf_dir):
     """Each probe's entries in the runs that have it: run, and offset of the record."""
     return runs.index(_runs(spark, sf_dir)).join(_probes(spark, sf_dir), "key").select("key", "sstable", "data_offset")
 
 
+@query
+def index_lookup_all(spark, sf_dir):
+    return runs.index(_runs(spark, sf_dir)).join(_every_probe(spark, sf_dir), "key").select("key", "sstable", "data_offset")
+
+
 @query
 def sstable_manifest(spark, sf_dir):
     return runs.manifest(_runs(spark, sf_dir))
@@ -154,11 +181,12 @@ def bloom_positions(spark, sf_dir):
 
 @query
 def bloom_probe(spark, sf_dir):
-    r = _runs(spark, sf_dir)
-    maybe = runs.bloom_probe(runs.bloom(r, BLOOM_M, BLOOM_K), _probes(spark, sf_dir), BLOOM_M, BLOOM_K)
-    both = maybe.join(r.select("level", "sstable", "key", F.lit(True).alias("there")), ["level", "sstable", "key"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return both.groupBy("key").agg(count(F.col("maybe") & F.col("there")).alias("true_positive"), count(F.col("maybe") & ~F.col("there")).alias("false_positive"), count(~F.col("maybe") & F.col("there")).alias("false_negative"), count(~F.col("maybe") & ~F.col("there")).alias("true_negative"))
+    return runs.bloom_outcomes(_runs(spark, sf_dir), _probes(spark, sf_dir), BLOOM_M, BLOOM_K)
+
+
+@query
+def bloom_probe_all(spark, sf_dir):
+    return runs.bloom_outcomes(_runs(spark, sf_dir), _every_probe(spark, sf_dir), BLOOM_M, BLOOM_K)
 
 
 @query
