@@ -3,7 +3,7 @@
 A fixed public vocabulary gives the pieces; training gives each language its piece probabilities (expectation
 maximisation over all segmentations of a bounded sample's words). A word's probability in a language is the sum over
 all its segmentations, by the forward algorithm; a text's is the product over its words. Words are scored once for each
-batch of text, for all languages at once, in blocks of words in order of length.
+batch of text, for all languages at once, in blocks of words in order of length; long words, of any length, by logarithms.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from . import kernels as K
 from .common import held_out, text_of
 
 VOCABULARY = "piece_bpe_32k.model"
-MOST_BYTES = 8  # of a piece
-WORD_BYTES = 48  # longer words are scored in parts of that many bytes
+SHORT_BYTES = 32  # of a word that needs no logarithms, as FLOOR to that power is no underflow
+CELLS = 1 << 18  # of a block of longer words: words times the longest's bytes
 SAMPLE_TEXTS = 600  # of each language, about
 ROUNDS = 4
 FLOOR = 1e-9  # probability of a byte that no piece has
@@ -46,7 +46,7 @@ def vocabulary(path: str | None = None) -> list[bytes]:
             continue
         p = sp.id_to_piece(i).lower().replace("▁", " ")
         b = p.encode()
-        if len(b) <= MOST_BYTES and p.strip(" ").isalpha() and " " not in p[1:]:
+        if p.strip(" ").isalpha() and " " not in p[1:]:
             pieces.add(b)
     return sorted(pieces)
 
@@ -55,7 +55,7 @@ class Pieces:
     """Piece numbers by hash: an open table of hashes, with what doesn't fit at its place in a small sorted rest."""
 
     def __init__(self, pieces: list[bytes]) -> None:
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces))
         buf = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         h = K.hash_spans(buf, ends - [len(p) for p in pieces], ends)
@@ -83,12 +83,13 @@ class Pieces:
     def lattice(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """[length - 1, place]: the piece that begins at the place with the length (n: none), for bytes of all words."""
         total = len(buf)
-        p, inv = K.powers(K.BASE, total + MOST_BYTES)
+        most = min(self.longest, int((ends - starts).max(initial=1)))
+        p, inv = K.powers(K.BASE, total + most)
         sums = np.zeros(total + 1, K.U)
         np.cumsum((buf.astype(K.U) + K.U(1)) * p[:total], out=sums[1:])
         left = np.repeat(ends, ends - starts) - np.arange(total)  # bytes from the place to the end of its word
-        out = np.full((MOST_BYTES, total), self.n, np.int32)
-        for k in range(1, MOST_BYTES + 1):
+        out = np.full((most, total), self.n, np.int32)
+        for k in range(1, most + 1):
             at = np.flatnonzero(left >= k)
             out[k - 1, at] = self.find(K.mix((sums[at + k] - sums[at]) * inv[at] + np.full(1, k, K.U) * K.BASES[0]))
         return out
@@ -101,7 +102,7 @@ def forward(lattice: np.ndarray, starts: np.ndarray, lengths: np.ndarray, prob:
     alpha[0] = 1
     for j in range(1, top + 1):
         n = int(np.searchsorted(-lengths, -j, "right"))  # words of at least j bytes
-        for k in range(1, min(j, MOST_BYTES) + 1):
+        for k in range(1, min(j, len(lattice)) + 1):
             alpha[j, :n] += alpha[j - k, :n] * prob[lattice[k - 1, starts[:n] + j - k]]
     return alpha
 
@@ -116,7 +117,7 @@ def expected_counts(lattice: np.ndarray, starts: np.ndarray, lengths: np.ndarray
     out = np.zeros(len(prob))
     total = np.maximum(alpha[lengths, np.arange(len(starts))], 1e-300)
     for j in range(top - 1, -1, -1):
-        for k in range(1, min(top - j, MOST_BYTES) + 1):
+        for k in range(1, min(top - j, len(lattice)) + 1):
             m = int(np.searchsorted(-lengths, -(j + k), "right"))
             piece = lattice[k - 1, starts[:m] + j]
             tail = prob[piece] * beta[j + k, :m]
@@ -125,12 +126,55 @@ def expected_counts(lattice: np.ndarray, starts: np.ndarray, lengths: np.ndarray
     return out
 
 
-def _cut_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words over WORD_BYTES in parts: starts, ends, and the word each part is of."""
-    parts = np.maximum(1, -(-(ends - starts) // WORD_BYTES))
-    of = np.repeat(np.arange(len(starts)), parts)
-    begin = starts[of] + WORD_BYTES * K.ragged(np.zeros(len(starts), np.int64), parts)
-    return begin, np.minimum(begin + WORD_BYTES, ends[of]), of
+def _log_sum(logs: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp(logs) * p over the first axis."""
+    peak = logs.max(axis=0)
+    return peak + np.log(np.maximum((np.exp(logs - peak) * p).sum(axis=0), 1e-300))
+
+
+def log_forward(lattice: np.ndarray, starts: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Logarithms of forward's result, for words of any length."""
+    top = int(lengths.max(initial=0))
+    alpha = np.full((top + 1, len(starts), prob.shape[1]), -np.inf)
+    alpha[0] = 0
+    for j in range(1, top + 1):
+        n = int(np.searchsorted(-lengths, -j, "right"))
+        k = np.arange(1, min(j, len(lattice)) + 1)[:, None]
+        alpha[j, :n] = _log_sum(alpha[j - k[:, 0], :n], prob[lattice[k - 1, starts[:n] + j - k]])
+    return alpha
+
+
+def log_expected_counts(lattice: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """expected_counts for words of any length."""
+    alpha = log_forward(lattice, starts, lengths, prob[:, None])[:, :, 0]
+    top = int(lengths.max(initial=0))
+    beta = np.full_like(alpha, -np.inf)
+    beta[lengths, np.arange(len(starts))] = 0
+    out = np.zeros(len(prob))
+    total = alpha[lengths, np.arange(len(starts))]
+    for j in range(top - 1, -1, -1):
+        n = int(np.searchsorted(-lengths, -(j + 1), "right"))
+        k = np.arange(1, min(top - j, len(lattice)) + 1)[:, None]
+        piece = lattice[k - 1, starts[:n] + j]  # none where the word ends before
+        tail = beta[j + k[:, 0], :n]
+        beta[j, :n] = _log_sum(tail, prob[piece])
+        uses = np.exp(np.minimum(alpha[j, :n] + tail - total[:n] + np.log(np.maximum(prob[piece], 1e-300)), 0)) * (prob[piece] > 0)
+        out += np.bincount(piece.ravel(), (uses * weight[:n]).ravel(), minlength=len(prob))
+    return out
+
+
+def _blocks(sizes: np.ndarray):
+    """(numbers of words, whether they are long) in descending order of size; sizes include the begin's space."""
+    order = np.argsort(-sizes, kind="stable")
+    i = 0
+    while i < len(order):
+        top = int(sizes[order[i]])
+        long = top > SHORT_BYTES
+        part = order[i : i + (max(1, min(20_000, CELLS // top)) if long else 20_000)]
+        if long:
+            part = part[sizes[part] > SHORT_BYTES]
+        yield part, long
+        i += len(part)
 
 
 def _marked(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +198,10 @@ class Model:
     def word_scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.empty((len(starts), len(self.languages)))
-        order = np.argsort(starts - ends, kind="stable")
-        for i in range(0, len(order), 20_000):
-            own = order[i : i + 20_000]
+        for own, long in _blocks(ends - starts + 1):
             text, s, e = _marked(buf, starts[own], ends[own])
-            alpha = forward(self.pieces.lattice(text, s, e), s, e - s, self.prob)
-            out[own] = np.log(np.maximum(alpha[e - s, np.arange(len(own))], 1e-300))
+            alpha = (log_forward if long else forward)(self.pieces.lattice(text, s, e), s, e - s, self.prob)[e - s, np.arange(len(own))]
+            out[own] = alpha if long else np.log(np.maximum(alpha, 1e-300))
         return out
 
     def score(self, col) -> tuple[list[str], np.ndarray]:
@@ -171,10 +213,9 @@ class Model:
         starts, ends, first = K.words(buf, offsets, NOT_LETTER)
         total = np.tile(np.log(self.prior), (n, 1))
         if len(starts):
-            begin, end, of = _cut_words(buf, starts, ends)
-            text = np.repeat(np.arange(n), np.diff(first))[of]
-            _, one, which = np.unique(K.hash_spans(buf, begin, end), return_index=True, return_inverse=True)
-            scores = self.word_scores(buf, begin[one], end[one])
+            text = np.repeat(np.arange(n), np.diff(first))
+            _, one, which = np.unique(K.hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+            scores = self.word_scores(buf, starts[one], ends[one])
             for k in range(len(self.languages)):
                 total[:, k] += np.bincount(text, scores[which, k], minlength=n)
         best = total.argmax(axis=1)
@@ -196,17 +237,15 @@ def fit(words: dict[str, tuple[list[bytes], np.ndarray]], pieces: list[bytes], r
         own, weight = words[language]
         flat = np.frombuffer(b"".join(own), np.uint8)
         stop = np.cumsum([len(w) for w in own])
-        begin, end, of = _cut_words(flat, stop - [len(w) for w in own], stop)
-        order = np.argsort(begin - end, kind="stable")
+        begin = stop - [len(w) for w in own]
         p = 0.05 ** length.astype(float)
         p[-1] = 0
         blocks = []
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            text, s, e = _marked(flat, begin[part], end[part])
-            blocks.append((table.lattice(text, s, e), s, e - s, np.asarray(weight, float)[of[part]]))
+        for part, long in _blocks(stop - begin + 1):
+            text, s, e = _marked(flat, begin[part], stop[part])
+            blocks.append((log_expected_counts if long else expected_counts, (table.lattice(text, s, e), s, e - s, np.asarray(weight, float)[part])))
         for _ in range(rounds):
-            counts = sum((expected_counts(*b, p) for b in blocks), np.zeros(len(p)))
+            counts = sum((count(*b, p) for count, b in blocks), np.zeros(len(p)))
             counts[:-1] += np.where(length[:-1] == 1, FLOOR * counts.sum() + 1e-12, 0)
             counts[-1] = 0
             p = np.maximum(counts / counts.sum(), np.where(length == 1, FLOOR, 1e-12))
