@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, scratch_folder, write_table
+
 _SCRATCH: list[str] = []
 _PASSING = False
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    folder = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
     if _PASSING:
         _SCRATCH.append(folder)
     return f"{folder}/{name}"
@@ -32,9 +24,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_table(df, scratch_path(df.sparkSession, name))
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables (see written) that nothing reads any more."""
+    for t in tables:
+        for folder in {re.sub(r"(/siltstone-[0-9a-f]{32})/.*", r"\1", f) for f in t.inputFiles() if "/siltstone-" in f}:
+            discard(t.sparkSession, folder)
+            _SCRATCH[:] = [f for f in _SCRATCH if f.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
 
 
 @contextmanager
@@ -51,13 +49,10 @@ def passing():
 def release(docs: DataFrame) -> None:
     """Delete the scratch tables of earlier stages, but those that docs still reads."""
     spark, read = docs.sparkSession, docs.inputFiles() if _SCRATCH else []
-    jvm = spark.sparkContext._jvm
     for folder in [*_SCRATCH]:
-        if any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in read):
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _SCRATCH.remove(folder)
+        if not any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in read):
+            discard(spark, folder)
+            _SCRATCH.remove(folder)
 
 
 def size_in_bytes(df: DataFrame) -> int:

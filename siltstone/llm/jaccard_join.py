@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Every document is the set of its word n-grams. The global n-gram order is cut into fragments; each fragment counts
-partial overlaps on its own, and a pair's counts are summed. The steps:
+partial overlaps on its own, and a pair's counts are summed over fragments. The steps:
 
 1. Batches hash their n-grams and collapse documents with equal sets. Packed entries (n-gram, document) go to buckets
    of n-grams, which tell the n-grams that more than one set has. An n-gram that a batch has in several sets is settled
@@ -10,28 +10,30 @@ partial overlaps on its own, and a pair's counts are summed. The steps:
 3. A set can only reach the threshold if enough of its n-grams are shared at all; most sets end here. The document
    frequencies among those left give the global order, rarest first, and each set's prefix: two sets that reach the
    threshold share an n-gram in both prefixes.
-4. Candidates come from prefixes. In the first rounds each set is compared with one hub only (of its prefix lists, the
-   most shared set); links join components, and sets in one component need no more comparing. The last round compares
-   all pairs that share prefix n-grams, pass the size and position filters and are in different components. So all
-   links between components are found, which settles the components.
-5. Candidates meet fragment by fragment: partial overlap there, sum over fragments, exact integer threshold.
-6. Linked sets are always in one component, so all links are found there: a component's sets are dealt into blocks, each
-   pair of blocks meets once, and every pair's overlap is counted, again in pieces of the n-gram order that are summed.
+4. Prefix n-grams of few sets give pairs, at most HEAVY / 2 for each entry, that pass the size and position filters. Sets
+   connected over n-grams that stand in more prefixes form groups; three quarters of such a set or more are frequent
+   n-grams, as its prefix begins with its rarest. A group isn't spelt out in pairs: its sets are dealt into classes of
+   size, classes into blocks, and blocks of classes that can link meet once.
+5. Each fragment has its segment of every set and counts partial overlaps: of the pairs, and of all pairs of two blocks as
+   one matrix. Counts are summed over fragments and compared with the threshold, in integers. All links are found; of a
+   pair of blocks only as many are told as connect its sets, and how many each set has.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import buckets_for, text_of, written
+from .common import buckets_for, drop, text_of, written
 
 FRAGMENTS = 4
-HUB_ROUNDS = 2
-BLOCK_SETS, BLOCK_GRAMS = 1 << 10, 1 << 19  # of a component's block, about
+HEAVY = 32  # prefixes that an n-gram may stand in and still give pairs
+SALTS = 16
+BLOCK_SETS, BLOCK_GRAMS = 1 << 10, 1 << 19  # of a group's block, about
 CELLS = 1 << 22  # of a matrix of sets and n-grams
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 ROW_SQL = "bucket int, kind string, a binary, b binary, c binary, d binary"
@@ -50,6 +52,16 @@ def _gram_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> K.U(44)).astype(np.int64) & (buckets - 1)
 
 
+def _without_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes of one bucket without the bits that number it: fewer bits, in the same order."""
+    return (((h >> K.U(43 + buckets.bit_length())) << K.U(44)) | (h & K.U((1 << 44) - 1))).view(np.int64)
+
+
+def _with_bucket(x: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    x = x.view(K.U)
+    return ((x >> K.U(44)) << K.U(43 + buckets.bit_length())) | K.U(bucket << 44) | (x & K.U((1 << 44) - 1))
+
+
 def _rows(kind: str, bucket: np.ndarray, buckets: int, **columns):
     """Record batches of packed rows, one for each bucket. Columns of uint64 (hashes) are kept raw, others packed."""
     if not len(bucket):
@@ -136,8 +148,8 @@ def _shingle(width: int, buckets: int):
                 shared = np.repeat(size > 1, size)
                 yield from _rows("shared", _doc_bucket(owner[shared], buckets), buckets, a=h[shared], b=owner[shared])
                 one, many = begin[size == 1], begin[size > 1]
-                yield from _rows("gram", _gram_bucket(h[one], buckets), buckets, a=h[one], b=owner[one])
-                yield from _rows("settled", _gram_bucket(h[many], buckets), buckets, a=h[many])
+                yield from _rows("gram", _gram_bucket(h[one], buckets), buckets, c=_without_bucket(h[one], buckets), b=owner[one])
+                yield from _rows("settled", _gram_bucket(h[many], buckets), buckets, c=_without_bucket(h[many], buckets))
 
     return run
 
@@ -147,8 +159,10 @@ def _resolve(buckets: int):
 
     def run(t: pa.Table) -> pa.Table:
         out = [b for b in t.filter(pa.compute.is_in(t["kind"], pa.array(["member", "shared"]))).cast(ROW).to_batches() if len(b)]
-        h, doc = _read(t, ("gram",), "a", "b")
-        (settled,) = _read(t, ("settled",), "a")
+        bucket = t["bucket"][0].as_py()
+        doc, h = _read(t, ("gram",), "", "bc")
+        (settled,) = _read(t, ("settled",), "", "c")
+        h, settled = _with_bucket(h, bucket, buckets), _with_bucket(settled, bucket, buckets)
         every, owner = np.append(h, settled), np.append(doc, np.zeros(len(settled), np.int64))
         mine = np.arange(len(every)) < len(h)
         order = np.argsort(every, kind="stable")
@@ -271,28 +285,35 @@ def _unpack(batches):
             yield pa.record_batch([pa.array(K.unpack_ints(x)) for x in (b, c, d)], schema=schema)
 
 
-def components(links: DataFrame, steps: int | None = None) -> DataFrame:
-    """doc, component: the smallest id reachable over links (a, b); documents without links are left out.
+def _salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """left and right joined on the key, where left may have a key very often and right has it once: each key's rows are
+    dealt out by a hash of another column."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(right.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
 
-    steps: stop after so many rounds; then the component is some id that the document is connected to.
-    Alternating large-star and small-star steps; each is an aggregate and a join, written out. Nothing is collected but
-    two sums that tell whether anything has changed.
+
+def components(links: DataFrame) -> DataFrame:
+    """doc, component: the smallest id reachable over links (a, b); documents without links are left out, so no links give
+    no rows. Rows that repeat don't matter.
+
+    Alternating large-star and small-star steps; each is an aggregate and a salted join, written out. Nothing is collected
+    but two sums that tell whether anything has changed.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = None
+    seen = before = None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-        edges = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()  # large star
+        edges = _salted(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()  # large star
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = edges.join(least, "a")
+        edges = _salted(edges, least, "a", "b")
         edges = written(edges.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "edges")  # small star
-        if steps is not None and (steps := steps - 1) <= 0:
-            return edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("component"))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if before is not None:
+            drop(before)
+        if now == seen or not now[0]:
             return edges.select(F.col("a").alias("doc"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        seen = now
+        seen, before = now, edges
 
 
 def _valid(percent: int):
@@ -303,54 +324,48 @@ def _valid(percent: int):
     return (F.col("x.c") >= alpha) & (F.col("y.c") >= alpha) & at[0] & at[1]
 
 
-def _links(sets: DataFrame, percent: int, fragments: int) -> DataFrame | None:
-    """a, b of linked sets: enough of all links to tell the components."""
-    if sets.isEmpty():
-        return None
-    prefix = written(
-        sets.select("doc", "n", "c", F.posexplode(F.expr("slice(grams, 1, prefix)")).alias("pos", "gram")), "prefix"
-    )
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """doc, n, c, pos, gram, held: the n-grams of the prefixes that stand in more than one, with the number of them."""
+    entries = sets.select("doc", "n", "c", F.posexplode(F.expr("slice(grams, 1, prefix)")).alias("pos", "gram"))
+    held = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("doc").alias("least")).filter("held > 1")
+    return _salted(entries, held, "gram", "doc")
+
+
+def _groups_of(prefixes: DataFrame) -> DataFrame:
+    """doc, component: sets connected over n-grams that stand in many prefixes."""
+    return components(prefixes.filter(f"held > {HEAVY}").select(F.col("doc").alias("a"), F.col("least").alias("b")))
+
+
+def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that share an n-gram of few prefixes and pass the filters, but those of one group."""
+    q = prefixes.filter(f"held <= {HEAVY}").join(groups, "doc", "left")
+    near = q.alias("x").join(q.alias("y"), "gram").filter("x.doc < y.doc and not coalesce(x.component = y.component, false)").filter(_valid(percent))
+    return near.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def _segments(sets: DataFrame, fragments: int) -> DataFrame:
+    """A row of sets for each fragment of the n-gram order, with the segment of the set's n-grams that lies in it."""
     sample = sets.filter(F.pmod(F.xxhash64("doc"), F.lit(8)) == 0).select(F.explode("orders").alias("o"))
-    pivots = sample.agg(F.percentile_approx("o", [k / fragments for k in range(1, fragments)], 100)).first()[0] or [0] * (fragments - 1)
-    bounds = [None, *pivots, None]
+    pivots = sample.agg(F.percentile_approx("o", [k / fragments for k in range(1, fragments)], 100)).first()[0] if fragments > 1 else []
+    bounds = [None, *(pivots or [0] * (fragments - 1)), None]
     pairs = F.arrays_zip(F.col("grams").alias("g"), F.col("orders").alias("o"))
 
     def cut(lo, hi):
-        inside = lambda x: F.lit(True) & (F.lit(True) if lo is None else x["o"] >= lo) & (F.lit(True) if hi is None else x["o"] < hi)
+        inside = lambda x: (F.lit(True) if lo is None else x["o"] >= lo) & (F.lit(True) if hi is None else x["o"] < hi)
         return F.transform(F.filter(pairs, inside), lambda x: x["g"])
 
-    segments = written(
-        sets.select("doc", "n", F.posexplode(F.array(*[cut(lo, hi) for lo, hi in zip(bounds, bounds[1:])])).alias("fragment", "segment")).filter(F.size("segment") > 0), "segments"
-    )
-    spark = sets.sparkSession
-    labels, links, tried = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        p = prefix.withColumn("label", F.col("doc")) if labels is None else prefix.join(labels.withColumnRenamed("component", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        if turn < HUB_ROUNDS:
-            worth = F.col("c") / F.col("n") if turn == 0 else F.xxhash64("doc", F.lit(turn)).cast("double")
-            hubs = p.groupBy("gram").agg(F.max(F.struct(worth.alias("w"), (-F.col("doc")).alias("o"), "doc", "n", "c", "pos", "label")).alias("y"), F.count("*").alias("size")).filter("size > 1")
-            found = p.alias("x").join(hubs.select("gram", "y.*").alias("y"), "gram").filter("x.label != y.label").filter(_valid(percent))
-            votes = found.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).count()
-            candidates = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-            candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            mixed = p.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("gram")
-            q = written(p.join(mixed, "gram"), "open")
-            candidates = q.alias("x").join(q.alias("y"), "gram").filter("x.doc < y.doc and x.label != y.label").filter(_valid(percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        if tried is not None:
-            candidates = candidates.join(tried, ["a", "b"], "left_anti")
-        candidates = written(candidates, "candidates")
-        parts = candidates.join(segments.select(F.col("doc").alias("a"), F.col("n").alias("na"), "fragment", F.col("segment").alias("sa")), "a").join(
-            segments.select(F.col("doc").alias("b"), F.col("n").alias("nb"), "fragment", F.col("segment").alias("sb")), ["b", "fragment"]
-        )
-        partial = parts.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("partial"))
-        total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
-        linked = written(total.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b"), "links")
-        tried = candidates if tried is None else tried.union(candidates)
-        links = linked if links is None else links.union(linked)
-        if turn < HUB_ROUNDS:
-            labels = components(links, steps=1)
-    return links
+    return sets.withColumns({"segments": F.array(*[cut(lo, hi) for lo, hi in zip(bounds, bounds[1:])])}).drop("grams", "orders", "prefix").select("*", F.posexplode("segments").alias("fragment", "segment")).drop("segments")
+
+
+def _count_pairs(sets: DataFrame, candidates: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """a, b, overlap of the candidates that link: partial counts of each fragment, summed."""
+    segments = _segments(sets, fragments).filter(F.size("segment") > 0)
+    a = segments.select(F.col("doc").alias("a"), F.col("n").alias("na"), "fragment", F.col("segment").alias("sa"))
+    b = segments.select(F.col("doc").alias("b"), F.col("n").alias("nb"), "fragment", F.col("segment").alias("sb"))
+    parts = candidates.join(a, "a").join(b, ["b", "fragment"])
+    partial = parts.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("partial"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
+    return total.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b", "overlap")
 
 
 def _overlaps(flat: np.ndarray, size: np.ndarray, left: slice, right: slice) -> np.ndarray:
@@ -373,96 +388,190 @@ def _overlaps(flat: np.ndarray, size: np.ndarray, left: slice, right: slice) ->
     return sums.astype(np.int64)
 
 
-def _compare(percent: int, pairs: bool):
-    """Of two blocks of a component, or of a bucket of small components: all links. As pairs, or as sums of weights by set."""
-    schema = pa.schema([(c, pa.int64()) for c in (("a", "b", "overlap") if pairs else ("doc", "linked"))])
+PARTIAL = pa.schema([("bucket", pa.int64()), ("component", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("docs", pa.binary()), ("ns", pa.binary()), ("weights", pa.binary()), ("left", pa.int64()), ("counts", pa.binary())])
+PARTIAL_SQL = "bucket long, component long, i long, j long, docs binary, ns binary, weights binary, left long, counts binary"
+
+
+def _runs(*keys: np.ndarray):
+    """Ranges of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    begin = np.flatnonzero(new)
+    return zip(begin.tolist(), np.append(begin[1:], len(new)).tolist())
+
+
+def _count_blocks(t: pa.Table) -> pa.Table:
+    """Of one fragment, and a bucket of pairs of blocks: the partial overlaps of each pair of blocks as a matrix."""
+    t = t.sort_by([(c, "ascending") for c in ("component", "i", "j", "block", "doc")])
+    component, i, j, block, doc, n, weight = (t[c].to_numpy() for c in ("component", "i", "j", "block", "doc", "n", "weight"))
+    segment = t["segment"].combine_chunks()
+    flat, size = segment.flatten().to_numpy(), segment.value_lengths().to_numpy().astype(np.int64)
+    place = np.append(0, np.cumsum(size))
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    rows: list[list] = [[] for _ in PARTIAL]
+    for s, e in _runs(component, i, j):
+        left = e - s if i[s] == j[s] else int(np.searchsorted(block[s:e], i[s], "right"))
+        if not left or i[s] != j[s] and left == e - s:
+            continue  # one of the blocks is empty
+        x, y = slice(0, left), slice(0 if i[s] == j[s] else left, e - s)
+        sums = _overlaps(flat[place[s] : place[e]], size[s:e], x, y).astype(np.uint32)
+        blobs = *(K.pack_ints(c[s:e]) for c in (doc, n, weight)), zip_(sums.ravel().view(np.uint8).reshape(-1, 4).T.tobytes())
+        for c, v in zip(rows, (t["bucket"][0].as_py(), component[s], i[s], j[s], *blobs[:3], left, blobs[3])):
+            c.append(v)
+    return pa.table([pa.array(c, f.type) for c, f in zip(rows, PARTIAL)], schema=PARTIAL)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of links (a, b) of 0 to n - 1 that connect what all of them connect: the smallest of a tree is its root."""
+    root = np.arange(n)
+    taken = np.zeros(len(a), bool)
+    while True:
+        x, y = root[a], root[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return np.flatnonzero(taken)
+        hi, lo = np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart])
+        order = np.lexsort((lo, hi))
+        first = order[np.append(True, hi[order][1:] != hi[order][:-1])]
+        taken[apart[first]] = True  # each tree but those with the smallest roots joins one with a smaller root
+        root[hi[first]] = lo[first]
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+
+
+def _sum_blocks(percent: int, pairs: bool):
+    """Of a bucket of pairs of blocks: the sums over fragments, and what links. As pairs (a, b, overlap); or links that
+    connect the same sets (a, b), and the weights that each set links with (a, null, weight)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("component", "ascending"), ("block", "ascending"), ("doc", "ascending")])
-        component, block, doc, n, weight = (t[c].to_numpy() for c in ("component", "block", "doc", "n", "weight"))
-        grams = t["grams"].combine_chunks()
-        flat, size = grams.flatten().to_numpy(), grams.value_lengths().to_numpy().astype(np.int64)
-        place = np.append(0, np.cumsum(size))
-        two = t["i"][0].as_py() != t["j"][0].as_py()
-        begin = np.append(np.flatnonzero(np.append(True, component[1:] != component[:-1])), len(doc))
-        out = []
-        for s, e in zip(begin, begin[1:]):
-            cut = int(np.searchsorted(block[s:e], block[s], "right")) if two else 0
-            x, y = (slice(0, cut), slice(cut, e - s)) if two else (slice(0, e - s),) * 2
-            if two and t["i"][0].as_py() != block[s] or two and cut == e - s:
-                continue  # one of the blocks is empty
-            sums = _overlaps(flat[place[s] : place[e]], size[s:e], x, y)
-            links = 100 * sums >= percent * (n[s:e][x][:, None] + n[s:e][y][None, :] - sums)
-            if not two:
+        t = t.sort_by([(c, "ascending") for c in ("component", "i", "j")])
+        unzip = zstandard.ZstdDecompressor().decompress
+        out: list[tuple] = []
+        none: list[np.ndarray] = []
+        for s, e in _runs(*(t[c].to_numpy() for c in ("component", "i", "j"))):
+            doc, n, weight = (K.unpack_ints(t[c][s].as_py()) for c in ("docs", "ns", "weights"))
+            left, same = t["left"][s].as_py(), t["i"][s].as_py() == t["j"][s].as_py()
+            x, y = np.arange(left), np.arange(0 if same else left, len(doc))
+            sums = np.zeros(len(x) * len(y), np.int64)
+            for k in range(s, e):
+                sums += np.ascontiguousarray(np.frombuffer(unzip(t["counts"][k].as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            sums = sums.reshape(len(x), len(y))
+            links = 100 * sums >= percent * (n[x][:, None] + n[y][None, :] - sums)
+            if same:
                 links = np.triu(links, 1)
             a, b = np.nonzero(links)
-            d, w = doc[s:e], weight[s:e]
             if pairs:
-                a, b, overlap = d[x][a], d[y][b], sums[a, b]
-                out.append((np.minimum(a, b), np.maximum(a, b), overlap))
-            else:
-                total = np.zeros(e - s, np.int64)
-                total[x] += links @ w[y]
-                total[y] += w[x] @ links
-                out.append((d, total))
-        return pa.table([np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(len(schema))], schema=schema)
+                out.append((np.minimum(doc[x[a]], doc[y[b]]), np.maximum(doc[x[a]], doc[y[b]]), sums[a, b]))
+                none.append(np.zeros(len(a), bool))
+                continue
+            few = _forest(x[a], y[b], len(doc))
+            total = np.zeros(len(doc), np.int64)
+            np.add.at(total, x, links @ weight[y])
+            np.add.at(total, y, weight[x] @ links)
+            some = np.flatnonzero(total)
+            out.append((np.append(doc[x[a[few]]], doc[some]), np.append(doc[y[b[few]]], np.zeros(len(some), np.int64)), np.append(sums[a[few], b[few]], total[some])))
+            none.append(np.append(np.zeros(len(few), bool), np.ones(len(some), bool)))
+        a, b, value = (np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(3))
+        return pa.table([pa.array(a), pa.array(b, mask=np.concatenate(none or [np.zeros(0, bool)])), pa.array(value)], schema=schema)
 
     return run
 
 
-def _within(sets: DataFrame, labels: DataFrame, weights: DataFrame, percent: int, pairs: bool = False) -> DataFrame:
-    """All links of the sets in each component (labels: doc, component): a, b, overlap; or doc and its links' weights, linked.
+def _within(sets: DataFrame, groups: DataFrame, weights: DataFrame | None, percent: int, fragments: int, pairs: bool = False) -> DataFrame:
+    """What links inside groups (doc, component); see _sum_blocks. Without weights each set weighs 1.
 
-    A component of more than a block is dealt into blocks by a hash, and its pairs of blocks go to different tasks.
+    Two sets only link if their sizes are in the same class of size or in neighbouring ones, so a group is dealt into
+    classes, and a class into blocks by a hash. Pairs of blocks go to buckets, for each fragment on its own.
     """
-    own = sets.select("doc", "n", "c", "grams").join(labels, "doc").join(weights, "doc")
-    span = sets.select("doc", "c").join(labels, "doc").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("c") / BLOCK_GRAMS)).alias("blocks"), F.sum("c").alias("grams_of"))
-    span = written(span, "span")
-    buckets = max(64, (span.agg(F.sum("grams_of")).first()[0] or 0) // BLOCK_GRAMS + 1)
-    own = own.join(span.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(7)), "blocks"))
-    small = own.filter("blocks = 1").select("component", "block", "doc", "n", "weight", "grams", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("key"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
-    large = own.filter("blocks > 1").select("component", "block", "doc", "n", "weight", "grams", F.col("component").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    return small.union(large.select(small.columns)).groupBy("key", "i", "j").applyInArrow(K.tidy_group(_compare(percent, pairs)), "a long, b long, overlap long" if pairs else "doc long, linked long")
+    if groups.isEmpty():
+        return sets.sparkSession.createDataFrame([], "a long, b long, overlap long")
+    step = float(np.log(100 / percent)) if percent < 100 else 1e-9
+    kind = F.floor(F.log("n") / step).cast("long") if percent < 100 else F.col("n")
+    own = sets.drop("prefix").join(groups, "doc").withColumn("kind", kind)
+    own = own.join(weights, "doc") if weights is not None else own.withColumn("weight", F.lit(1).cast("long"))
+    span = written(own.groupBy("component", "kind").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("c") / BLOCK_GRAMS)).cast("long").alias("blocks"), F.sum("c").alias("grams_of")), "span")
+    beside = [span.select("component", (F.col("kind") + k).alias("kind"), F.col("blocks").alias(f"blocks_{k + 1}")) for k in (-1, 1)]
+    near = span.join(beside[0], ["component", "kind"], "left").join(beside[1], ["component", "kind"], "left")  # a row for each class of a group
+    buckets = max(64, int(span.agg(F.sum(F.col("grams_of") * F.col("blocks"))).first()[0] or 0) // BLOCK_GRAMS + 1)
+    own = _salted(own.withColumn("cell", F.struct("component", "kind")), near.select(F.struct("component", "kind").alias("cell"), "blocks", "blocks_0", "blocks_2"), "cell", "doc").drop("cell")
+    of = lambda shift, count: F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.shiftleft(F.col("kind") + shift, 20) + k)).otherwise(F.array().cast("array<bigint>"))
+    own = own.withColumn("block", F.shiftleft("kind", 20) + F.pmod(F.xxhash64("doc", F.lit(7)), "blocks"))
+    # blocks_0: of the class above, whose rows were moved down by one; blocks_2: of the class below
+    own = own.withColumn("other", F.explode(F.concat(of(0, F.col("blocks")), of(1, F.col("blocks_0")), of(-1, F.col("blocks_2")))))
+    own = own.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets))).drop("other", "blocks", "blocks_0", "blocks_2", "kind", "c")
+    parts = _segments(own, fragments).groupBy("bucket", "fragment").applyInArrow(K.tidy_group(_count_blocks), PARTIAL_SQL)
+    return parts.groupBy("bucket").applyInArrow(K.tidy_group(_sum_blocks(percent, pairs)), "a long, b long, overlap long")
+
+
+def _alone(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """n of each row without an id."""
+
+    @K.tidy
+    def run(batches):
+        for batch in batches:
+            for _, buf, offsets in K.texts(batch, "text"):
+                text, _ = grams(buf, offsets, width)
+                yield pa.record_batch([np.bincount(text, minlength=len(offsets) - 1).astype(np.int64)], ["n"])
+
+    return text_of(docs.filter(F.col(id_col).isNull()), id_col, text_col).select("text").mapInArrow(run, "n long")
 
 
 def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS, with_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, n_links: one row for each row of docs with an id.
+    """doc_id, n_shingles, class_id, component_id, n_links: one row for each row of docs.
 
     A-Z is lowered; words are runs of other characters than space and \\x09 to \\x0D. The set of a document: its distinct
     n-grams of width words, or all its words as one if it has fewer. Documents without words (null, empty or blank text)
     have an empty set and link with nothing. Two sets link when 100 * |intersection| >= percent * |union|. class_id: the
     smallest id with an equal set; component_id: the smallest id reachable by links; n_links: the number of other ids it
-    links with, equal sets among them (not there without with_links, which needs no more links than tell components). Rows that
-    repeat an id are expected to have the same text; rows with a null id are left out. Other columns are ignored; an empty table gives no rows.
+    links with, equal sets among them (not there without with_links). Rows that repeat an id are expected to have the same
+    text. Rows with a null id link with nothing, and their class and component are null. Other columns are ignored; an
+    empty table gives no rows.
     """
     every, sets = _classes(docs, width, percent, id_col, text_col)
-    links = _links(sets, percent, fragments)
-    if links is None:
-        out = every.withColumn("component", F.col("class_id"))
-    else:
-        labels = written(components(links), "labels")
-        out = every.join(labels.withColumnRenamed("doc", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    weights = _weights(every) if with_links else None
+    links, linked = _links(sets, weights, percent, fragments)
+    labels = written(components(links), "labels")
+    out = every.join(labels.withColumnRenamed("doc", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     columns = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id")]
+    none = F.lit(None).cast("long")
+    alone = _alone(docs, width, id_col, text_col).select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id"))
     if not with_links:
-        return out.select(*columns)
-    weights = _weights(every)
-    if links is None:
-        out = out.withColumn("linked", F.lit(0).cast("long"))
-    else:
-        linked = written(_within(sets, labels, weights, percent).groupBy("doc").agg(F.sum("linked").alias("linked")), "linked")
-        out = out.join(linked.withColumnRenamed("doc", "class_id"), "class_id", "left")
-    out = out.join(weights.withColumnRenamed("doc", "class_id"), "class_id", "left")
-    return out.select(*columns, (F.coalesce("linked", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"))
+        return out.select(*columns).union(alone)
+    out = out.join(linked.withColumnRenamed("doc", "class_id"), "class_id", "left").join(weights.withColumnRenamed("doc", "class_id"), "class_id", "left")
+    out = out.select(*columns, (F.coalesce("linked", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"))
+    return out.union(alone.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def similar_pairs(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
-    """a, b, overlap: all links of class representatives (see similar_sets), a < b, with their number of common n-grams."""
-    every, sets = _classes(docs, width, percent, id_col, text_col)
-    links = _links(sets, percent, fragments)
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
-    return _within(sets, written(components(links), "labels"), _weights(every), percent, pairs=True)
+    """a, b, overlap: all links of class representatives (see similar_sets), a < b, with their number of common n-grams.
+    An empty table, or one without links, gives no rows."""
+    _, sets = _classes(docs, width, percent, id_col, text_col)
+    prefixes = written(_prefixes(sets), "prefixes")
+    groups = written(_groups_of(prefixes), "groups")
+    apart = _count_pairs(sets, written(_candidates(prefixes, groups, percent), "candidates"), percent, fragments)
+    return apart.union(_within(sets, groups, None, percent, fragments, pairs=True))
+
+
+def _links(sets: DataFrame, weights: DataFrame | None, percent: int, fragments: int) -> tuple[DataFrame, DataFrame | None]:
+    """a, b of links that connect what all links connect; and doc, linked: the weights that each set links with."""
+    prefixes = written(_prefixes(sets), "prefixes")
+    groups = written(_groups_of(prefixes), "groups")
+    candidates = written(_candidates(prefixes, groups, percent), "candidates")
+    drop(prefixes)
+    apart = written(_count_pairs(sets, candidates, percent, fragments), "links")
+    drop(candidates)
+    inside = written(_within(sets, groups, weights, percent, fragments), "inside")
+    drop(sets, groups)
+    links = apart.select("a", "b").union(inside.filter("b is not null").select("a", "b"))
+    if weights is None:
+        return links, None
+    ways = apart.select("a", "b").union(apart.select("b", "a")).join(weights.withColumnRenamed("doc", "b"), "b").select(F.col("a").alias("doc"), F.col("weight").alias("linked"))
+    linked = ways.union(inside.filter("b is null").select("a", "overlap")).groupBy("doc").agg(F.sum("linked").alias("linked"))
+    return links, written(linked, "linked")
 
 
 def _weights(every: DataFrame) -> DataFrame:
@@ -484,7 +593,8 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     reps, members = unpacked("rep"), unpacked("member")
     empty = members.filter("n = 0").select("doc", "n", F.col("doc").alias("class_id"))
     copies = members.filter("n > 0").join(reps.select(F.col("doc").alias("parent"), F.col("parent").alias("class_id")).distinct(), "parent").select("doc", "n", "class_id")
-    every = empty.union(copies).union(reps.select("doc", "n", F.col("parent").alias("class_id")))
+    every = written(empty.union(copies).union(reps.select("doc", "n", F.col("parent").alias("class_id"))), "classes")
+    drop(found)
     return every, sets
 
 

@@ -39,12 +39,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
-
-
-def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join's number of links of each document, which the columns of the SQL for op6 don't have."""
-    return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return similar_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, ngram_jaccard_links, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_toxicity, op5_token_output, op6_ngram_jaccard_join, op7_quality, op8_mixing, op9_decontamination, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -109,8 +104,10 @@ ORACLE_SQL = {
         l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
         edges AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-        m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(min(doc_id) OVER (PARTITION BY coalesce(h, doc_id::VARCHAR)), doc_id) AS class_id FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
+        m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+        deg AS (SELECT a AS doc_id, count(*) AS n_links FROM edges GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(min(doc_id) OVER (PARTITION BY coalesce(h, doc_id::VARCHAR)), doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+        FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN deg USING (doc_id)""",
     "op9_decontamination": r"""
         WITH lo AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, lo),

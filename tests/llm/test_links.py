@@ -30,9 +30,11 @@ def near_copies(n=70):
     return rows + [(200 + k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(12)] + [(300, None), (301, "one"), (302, "One"), (303, rows[0][1])]
 
 
-@pytest.mark.parametrize("block", [1 << 10, 7])
-def test_every_link_is_counted(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "heavy"), [(1 << 10, 32), (7, 2), (7, 1000)])
+def test_every_link_is_counted(spark, monkeypatch, block, heavy):
+    """With groups in one block, in many blocks, and without groups."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
     rows = near_copies()
     sets = sets_of(rows)
     links = brute_links(sets)
@@ -55,6 +57,51 @@ def test_links_of_odd_documents(spark):
     assert jaccard_join.similar_pairs(frame(spark, [])).collect() == []
 
 
+def test_a_template_below_the_threshold(spark):
+    """Sets that share four fifths of their sentences with all others, but link with none: no pairs are spelt out."""
+    r = np.random.default_rng(5)
+    sentence = lambda tag, k: " ".join(f"{tag}{k}x{j}" for j in range(6))
+    rows = []
+    for i in range(600):
+        own = [sentence("own", k) for k in r.choice(900, 10, replace=False)]
+        rows.append((i, " ".join([sentence("all", k) for k in range(26)] + own)))
+    _, sets = jaccard_join._classes(frame(spark, rows), 5, 75, "doc_id", "text")
+    prefixes = jaccard_join._prefixes(sets)
+    groups = jaccard_join._groups_of(prefixes)
+    candidates = jaccard_join._candidates(prefixes, groups, 75).count()
+    assert candidates <= jaccard_join.HEAVY * len(rows)  # of 179,700 pairs
+    links = brute_links(sets_of(rows))
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.similar_sets(frame(spark, rows)).collect()}
+    assert got == {i: sum(i in pair for pair in links) for i in range(600)}
+
+
+def test_a_forest_connects_what_links_connect():
+    r = np.random.default_rng(4)
+    for n in (2, 10, 60):
+        a, b = r.integers(0, n, (2, n))
+        a, b = a[a != b], b[a != b]
+        few = jaccard_join._forest(a, b, n)
+        root = {i: {i} for i in range(n)}
+        for x, y in zip(a, b):
+            both = root[x] | root[y]
+            root |= dict.fromkeys(both, both)
+        again = {i: {i} for i in range(n)}
+        for x, y in zip(a[few], b[few]):
+            assert again[x] is not again[y] and y not in again[x]
+            both = again[x] | again[y]
+            again |= dict.fromkeys(both, both)
+        assert root == again
+
+
+def test_hashes_without_their_bucket():
+    h = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    for buckets in (64, 1 << 12, 1 << 20):
+        for k in np.unique(at := jaccard_join._gram_bucket(h, buckets))[:5]:
+            own = h[at == k]
+            short = jaccard_join._without_bucket(own, buckets)
+            assert (np.diff(short) >= 0).all() and (jaccard_join._with_bucket(short, int(k), buckets) == own).all()
+
+
 def test_overlaps_in_pieces(monkeypatch):
     monkeypatch.setattr(jaccard_join, "CELLS", 1)
     r = np.random.default_rng(3)
