@@ -285,11 +285,11 @@ def _unpack(batches):
             yield pa.record_batch([pa.array(K.unpack_ints(x)) for x in (b, c, d)], schema=schema)
 
 
-def _salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+def _salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """left and right joined on the key, where left may have a key very often and right has it once: each key's rows are
-    dealt out by a hash of another column."""
+    dealt out by a hash of another column. Never a broadcast, as the plan's sizes don't know of the salts."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(right.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(right.withColumn("_salt", salts).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -535,13 +535,13 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     weights = _weights(every) if with_links else None
     links, linked = _links(sets, weights, percent, fragments)
     labels = written(components(links), "labels")
-    out = every.join(labels.withColumnRenamed("doc", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    found = labels if weights is None else weights.join(linked, "doc", "left").join(labels, "doc", "left")  # a row for each class
+    out = _salted(every, found.withColumnRenamed("doc", "class_id"), "class_id", "doc", "left").withColumn("component", F.coalesce("component", "class_id"))
     columns = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id")]
     none = F.lit(None).cast("long")
     alone = _alone(docs, width, id_col, text_col).select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id"))
     if not with_links:
         return out.select(*columns).union(alone)
-    out = out.join(linked.withColumnRenamed("doc", "class_id"), "class_id", "left").join(weights.withColumnRenamed("doc", "class_id"), "class_id", "left")
     out = out.select(*columns, (F.coalesce("linked", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"))
     return out.union(alone.withColumn("n_links", F.lit(0).cast("long")))
 

@@ -18,13 +18,13 @@ _COUNT = np.array((1, *COUNTS), np.int64)
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
-    out = np.zeros(x.shape, np.uint8)
-    for k in (32, 16, 8, 4, 2, 1):
-        high = (x >> U(k)) > 0
-        out[high] += k
-        x = np.where(high, x >> U(k), x)
-    return out + (x > 0).astype(np.uint8)
+    """Bits that each value needs: the exponent of its floating-point form, which is exact up to 53 bits; over that the
+    high half has it."""
+    out = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    large = x >> U(53) > 0
+    if large.any():
+        out[large] = 32 + np.frexp((x[large] >> U(32)).astype(np.float64))[1].astype(np.uint8)
+    return out
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

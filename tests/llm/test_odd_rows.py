@@ -54,9 +54,9 @@ def test_mixing(docs):
 
 
 def test_token_output(docs):
-    got = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in token_output(docs).collect()))
-    assert [g[1] for g in got] == [-(1 << 63)] * 2 + [1, 1, 2, 2, 3, 4, 4, 5]
-    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
+    got = sorted(((r["start"], r["n_tokens"], r["doc_id"]) for r in token_output(docs).collect()))
+    assert [g[2] for g in got] == [None] * 2 + [1, 1, 2, 2, 3, 4, 4, 5]
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
 
 
 def test_models(spark, docs):
