@@ -4,8 +4,8 @@ The digests of the history are dealt into buckets; each bucket holds a minimal p
 digest, the locator of the row that wins so far, and the number of copies. New digests, one row for each distinct one,
 are looked up in their bucket and compared byte for byte with the slot's; members join the historical class, all others
 are grouped separately. Both sides hold a digest once, as they are aggregated before the shuffle, so a group of copies
-of any size costs a bucket one row. Rows get their class back by a join on the digest, which adaptive execution splits
-where a digest is frequent.
+of any size costs a bucket one row. Rows get their class back by a join on the digest; the few digests that more than a
+thousandth of all rows have, of which there can't be more than a thousand, are broadcast to their rows instead.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, text_of, written
 
+FREQUENT = 1_000  # digests that more rows than one in so many have are broadcast
 LEVEL_LOAD = 1.5  # positions of a level for each key that is left
 LEVELS = 64
 
@@ -36,23 +37,26 @@ def _position(keys: tuple[np.ndarray, np.ndarray], level: int, size: int) -> np.
 class MinimalPerfectHash:
     """Levels of bits: a key sits in the first level where no other key shares its position; its rank there numbers it.
 
-    Maps n keys to 0 .. n - 1. Other keys map to -1 or to some slot, so slots must hold the key.
+    Maps n keys to 0 .. n - 1. Other keys map to -1 or to some slot, so slots must hold the key. A level is a vector of
+    bits in words, and the number of bits set before each word: three bits for each position.
     """
 
     def __init__(self, digests: np.ndarray) -> None:
-        keys, self.levels = _keys(digests), []
+        keys = _keys(digests)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
         before = 0
         for level in range(LEVELS):
             n = len(keys[0])
             if not n:
                 return
             size = int(n * LEVEL_LOAD) + 1
-            at = _position(keys, level, size)
-            held = np.bincount(at.astype(np.int64), minlength=size)
-            ranks = np.where(held == 1, before + np.cumsum(held == 1) - 1, -1)
-            before += int((held == 1).sum())
-            self.levels.append(ranks)
-            stay = held[at.astype(np.int64)] > 1
+            at = _position(keys, level, size).astype(np.int64)
+            alone = np.bincount(at, minlength=size) == 1
+            words = np.packbits(np.pad(alone, (0, -size % 64)), bitorder="little").view(np.uint64)
+            ones = np.bitwise_count(words).astype(np.int64)
+            self.levels.append((size, words, before + np.cumsum(ones) - ones))
+            before += int(ones.sum())
+            stay = ~alone[at]
             keys = keys[0][stay], keys[1][stay]
         raise ValueError("digests repeat")
 
@@ -60,12 +64,14 @@ class MinimalPerfectHash:
         keys = _keys(digests)
         out = np.full(len(keys[0]), -1, np.int64)
         left = np.arange(len(out))
-        for level, ranks in enumerate(self.levels):
+        for level, (size, words, ranks) in enumerate(self.levels):
             if not len(left):
                 break
-            at = ranks[_position((keys[0][left], keys[1][left]), level, len(ranks)).astype(np.int64)]
-            out[left[at >= 0]] = at[at >= 0]
-            left = left[at < 0]
+            at = _position((keys[0][left], keys[1][left]), level, size)
+            word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            here = (words[word] & bit) > 0
+            out[left[here]] = ranks[word[here]] + np.bitwise_count(words[word[here]] & (bit[here] - np.uint64(1)))
+            left = left[~here]
         return out
 
 
@@ -74,35 +80,34 @@ def _digests(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-def _slots(history: pa.Table) -> tuple[MinimalPerfectHash, np.ndarray, np.ndarray, np.ndarray]:
-    """The perfect hash of a bucket, and its slots: full digests, winner locators, sizes."""
-    digests = _digests(history["digest"])
-    mph = MinimalPerfectHash(digests)
-    at = mph.slot(digests)
-    held = np.empty_like(digests)
-    winner, size = (np.empty(len(at), np.int64) for _ in range(2))
-    held[at], winner[at], size[at] = digests, history["winner"].to_numpy(), history["size"].to_numpy()
-    return mph, held, winner, size
+def _winners(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Locators of the winners, and where there is one: rows without an id don't win."""
+    col = t["winner"].combine_chunks()
+    return col.fill_null(NO_ID).to_numpy().copy(), col.is_valid().to_numpy(zero_copy_only=False).copy()
 
 
 CLASSES = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("historical", pa.bool_())])
+NO_ID = -(1 << 63)
 
 
 def _look_up(history: pa.Table, new: pa.Table) -> pa.Table:
     """The classes of a bucket's digests, historical ones and others."""
-    mph, held, winner, size = _slots(history)
-    digests = _digests(new["digest"])
+    digests, (winner, known), size = _digests(history["digest"]), _winners(history), history["size"].to_numpy()
+    mph = MinimalPerfectHash(digests)
+    at = mph.slot(digests)
+    # the slots: full digests, winner locators, sizes
+    order = np.argsort(at)
+    held, winner, known, size = digests[order], winner[order], known[order], size[order]
+    digests, (new_winner, new_known), new_size = _digests(new["digest"]), _winners(new), new["size"].to_numpy()
     at = mph.slot(digests)
     member = at >= 0
     member[member] = (held[at[member]] == digests[member]).all(axis=1)  # byte check
-    new_winner, new_size = new["winner"].to_numpy(), new["size"].to_numpy()
     np.maximum.at(winner, at[member], new_winner[member])
+    np.logical_or.at(known, at[member], new_known[member])
     np.add.at(size, at[member], new_size[member])
     out = [*map(bytes, held), *map(bytes, digests[~member])]
-    return pa.table(
-        [pa.array(out, pa.binary()), np.append(winner, new_winner[~member]), np.append(size, new_size[~member]), np.arange(len(out)) < len(held)],
-        schema=CLASSES,
-    )
+    keep = pa.array(np.append(winner, new_winner[~member]), mask=~np.append(known, new_known[~member]))
+    return pa.table([pa.array(out, pa.binary()), keep, np.append(size, new_size[~member]), np.arange(len(out)) < len(held)], schema=CLASSES)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,18 +137,28 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
 
     history: rows seen before, with the same columns; where it is None, the lower half of docs' id range is the history
     and is answered for too. Of equal texts, the row with the largest id stays (among rows with that id all are kept:
-    ids are expected to be unique). Null is an empty text; empty texts are equal to each other. An empty table gives no
-    rows. Columns other than the id and the text are ignored.
+    ids are expected to be unique). A row with a null id goes if a row with an id has its text, and stays, with a null
+    keep_id, if none has. Null is an empty text; empty texts are equal to each other. An empty table gives no rows.
+    Columns other than the id and the text are ignored.
     """
     rows = written(digests(docs, id_col, text_col), "digests")
-    n = buckets_for(docs, 4 << 20)
+    lo, hi, n_rows = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if history is None:
-        lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         cut = ((lo or 0) + (hi or 0)) // 2
         old, new = rows.filter(F.col("doc_id") <= cut), rows.filter(F.coalesce(F.col("doc_id") > cut, F.lit(True)))
+        buckets = buckets_for(docs, 4 << 20)
     else:
         old, new = digests(history, id_col, text_col), rows
-    found = classes(distinct(old), distinct(new), n)
-    return rows.join(found, "digest").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "historical"
-    )
+        buckets = max(buckets_for(docs, 4 << 20), buckets_for(history, 4 << 20))
+    found = written(classes(distinct(old), distinct(new), buckets), "classes")
+    least = n_rows // FREQUENT
+    kept = found.withColumnsRenamed({"digest": "of"})
+    few, many = (kept.filter(f"group_size {sign} {least}") for sign in (">", "<="))
+    if history is not None:  # a class may be large by its history alone
+        few = few.join(rows.groupBy("digest").agg(F.count("*").alias("n")).filter(f"n > {least}"), F.col("of") == F.col("digest"), "left_semi")
+        many = kept.join(few.select("of"), "of", "left_anti").select(kept.columns)
+    few = F.broadcast(few)  # less than FREQUENT rows
+    same = F.col("digest") == F.col("of")
+    out = rows.join(few, same).unionByName(rows.join(few, same, "left_anti").join(many, same))
+    stays = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return out.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "historical")

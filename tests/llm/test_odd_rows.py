@@ -28,6 +28,20 @@ def test_exact_dedup(docs):
     assert got == [(0, 4, 3, False), (0, 5, 2, False), (1, 2, 4, False), (1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, True), (3, 3, 1, True), (4, 4, 3, True), (4, 4, 3, True), (5, 5, 2, True)]
 
 
+def test_exact_dedup_without_ids(spark):
+    """Rows without an id whose text nobody else has, or only others without an id, or only history."""
+
+    def run(rows, history=None):
+        frame = lambda x: spark.createDataFrame(x, "doc_id long, text string").repartition(2)
+        out = exact_dedup(frame(rows), None if history is None else frame(history)).collect()
+        return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["historical"]) for r in out), key=str)
+
+    big = (1 << 53) + 1
+    assert run([(1, "a"), (2, "b"), (10, "z"), (None, "a")]) == sorted([(1, 1, 2, True, True), (2, 2, 1, True, True), (10, 10, 1, True, False), (None, 1, 2, False, True)], key=str)
+    assert run([(1, "a"), (big, "z"), (None, "q"), (None, "q")]) == sorted([(1, 1, 1, True, True), (big, big, 1, True, False), (None, None, 2, True, False), (None, None, 2, True, False)], key=str)
+    assert run([(None, "a"), (None, "b"), (big, "b")], [(7, "a"), (None, "b"), (None, "b")]) == sorted([(None, 7, 2, False, True), (None, big, 4, False, True), (big, big, 4, True, True)], key=str)
+
+
 def test_substring_dedup(docs):
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup(docs).collect())
     assert got == [(0, 0, 0), (0, 2, 0), (1, 80, 0), (1, 80, 0), (2, 80, 80), (2, 80, 80), (3, 81, 80), (4, 0, 0), (4, 0, 0), (5, 2, 0)]
