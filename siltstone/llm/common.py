@@ -12,6 +12,7 @@ from ..sources.scratch import discard, scratch_folder, write_table
 
 _SCRATCH: list[str] = []
 _PASSING = False
+SALTS = 16
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -72,8 +73,11 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 <<
     return n
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """left and right joined on the key, where left may have a key very often and right has it once: each key's rows are
+    dealt out by a hash of another column. Never a broadcast, as the plan's sizes don't know of the salts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(right.withColumn("_salt", salts).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

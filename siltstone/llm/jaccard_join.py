@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import buckets_for, drop, text_of, written
+from .common import buckets_for, drop, salted, text_of, written
 
 FRAGMENTS = 4
 HEAVY = 32  # prefixes that an n-gram may stand in and still give pairs
-SALTS = 16
 BLOCK_SETS, BLOCK_GRAMS = 1 << 10, 1 << 19  # of a group's block, about
 CELLS = 1 << 22  # of a matrix of sets and n-grams
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -285,13 +284,6 @@ def _unpack(batches):
             yield pa.record_batch([pa.array(K.unpack_ints(x)) for x in (b, c, d)], schema=schema)
 
 
-def _salted(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """left and right joined on the key, where left may have a key very often and right has it once: each key's rows are
-    dealt out by a hash of another column. Never a broadcast, as the plan's sizes don't know of the salts."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(right.withColumn("_salt", salts).hint("merge"), [key, "_salt"], how).drop("_salt")
-
-
 def components(links: DataFrame) -> DataFrame:
     """doc, component: the smallest id reachable over links (a, b); documents without links are left out, so no links give
     no rows. Rows that repeat don't matter.
@@ -304,9 +296,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-        edges = _salted(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()  # large star
+        edges = salted(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()  # large star
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = _salted(edges, least, "a", "b")
+        edges = salted(edges, least, "a", "b")
         edges = written(edges.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "edges")  # small star
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before is not None:
@@ -328,7 +320,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     """doc, n, c, pos, gram, held: the n-grams of the prefixes that stand in more than one, with the number of them."""
     entries = sets.select("doc", "n", "c", F.posexplode(F.expr("slice(grams, 1, prefix)")).alias("pos", "gram"))
     held = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("doc").alias("least")).filter("held > 1")
-    return _salted(entries, held, "gram", "doc")
+    return salted(entries, held, "gram", "doc")
 
 
 def _groups_of(prefixes: DataFrame) -> DataFrame:
@@ -496,7 +488,7 @@ def _within(sets: DataFrame, groups: DataFrame, weights: DataFrame | None, perce
     beside = [span.select("component", (F.col("kind") + k).alias("kind"), F.col("blocks").alias(f"blocks_{k + 1}")) for k in (-1, 1)]
     near = span.join(beside[0], ["component", "kind"], "left").join(beside[1], ["component", "kind"], "left")  # a row for each class of a group
     buckets = max(64, int(span.agg(F.sum(F.col("grams_of") * F.col("blocks"))).first()[0] or 0) // BLOCK_GRAMS + 1)
-    own = _salted(own.withColumn("cell", F.struct("component", "kind")), near.select(F.struct("component", "kind").alias("cell"), "blocks", "blocks_0", "blocks_2"), "cell", "doc").drop("cell")
+    own = salted(own.withColumn("cell", F.struct("component", "kind")), near.select(F.struct("component", "kind").alias("cell"), "blocks", "blocks_0", "blocks_2"), "cell", "doc").drop("cell")
     of = lambda shift, count: F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.shiftleft(F.col("kind") + shift, 20) + k)).otherwise(F.array().cast("array<bigint>"))
     own = own.withColumn("block", F.shiftleft("kind", 20) + F.pmod(F.xxhash64("doc", F.lit(7)), "blocks"))
     # blocks_0: of the class above, whose rows were moved down by one; blocks_2: of the class below
@@ -536,7 +528,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     links, linked = _links(sets, weights, percent, fragments)
     labels = written(components(links), "labels")
     found = labels if weights is None else weights.join(linked, "doc", "left").join(labels, "doc", "left")  # a row for each class
-    out = _salted(every, found.withColumnRenamed("doc", "class_id"), "class_id", "doc", "left").withColumn("component", F.coalesce("component", "class_id"))
+    out = salted(every, found.withColumnRenamed("doc", "class_id"), "class_id", "doc", "left").withColumn("component", F.coalesce("component", "class_id"))
     columns = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id")]
     none = F.lit(None).cast("long")
     alone = _alone(docs, width, id_col, text_col).select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("class_id"), none.alias("component_id"))

@@ -55,8 +55,8 @@ def test_similar_sets(docs):
 
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(13))), (None, "a b"), (2, None)], "item_id long, text string")
-    got = sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate(docs, bench).collect())
-    assert got == [(1, 80, 13), (2, 80, 13), (3, 81, 13), (4, 0, 0), (5, 2, 0)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in decontaminate(docs, bench).collect())
+    assert got == [(0, 0, 0), (0, 2, 0), (1, 80, 13), (1, 80, 13), (2, 80, 13), (2, 80, 13), (3, 81, 13), (4, 0, 0), (4, 0, 0), (5, 2, 0)]
     assert sorted(r["doc_id"] or 0 for r in keep_clean(docs, bench).collect()) == [0, 0, 4, 4, 5]
 
 
@@ -85,5 +85,13 @@ def test_models(spark, docs):
 def test_archive(spark):
     big = "x" * 100
     pages = spark.createDataFrame([(None, "u", big), (1, "u", big), (1, "u", big), (2, "u", big), (3, None, None), (3, None, None)], "page_id long, url string, html string")
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in archive(pages).collect())
-    assert got == [(1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0), (3, "response", 0)]
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in archive(pages).collect())
+    assert got == [(0, "response", 0), (1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0), (3, "response", 0)]
+
+
+def test_archive_of_any_id(spark):
+    ids = [-(1 << 63), -1, 0, 300_000_000_000, (1 << 63) - 1, None, None]
+    pages = spark.createDataFrame([(i, f"http://a.org/{k}", "y" * 200) for k, i in enumerate(ids)], "page_id long, url string, html string")
+    got = archive(pages).collect()
+    assert sorted(r["page_id"] for r in got if r["page_id"] is not None) == sorted(i for i in ids if i is not None) and len(got) == len(ids)
+    assert all((r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] in (None, -(1 << 63)) else ("revisit", -(1 << 63))) for r in got)

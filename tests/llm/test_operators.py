@@ -162,7 +162,8 @@ def test_decontamination_in_blocks_and_with_slop(spark, monkeypatch):
     docs = frame(spark, [(1, "a b c d e f g"), (2, "a b x c d"), (3, "d c b a"), (4, "q a b")])
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c d", "c d e", "q a", "b x"])], "item_id long, text string")
     whole = sorted(decontamination.decontaminate(docs, bench).collect())
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(decontamination, "BLOCK_PHRASES", 1)
+    monkeypatch.setattr(decontamination, "ROW_PHRASES", 1)
     assert sorted(decontamination.decontaminate(docs, bench).collect()) == whole
     near = rows_of(decontamination.decontaminate(docs, bench.filter("item_id = 0"), slop=1), "n_items")
     assert near == {1: (1,), 2: (1,), 3: (0,), 4: (0,)}
@@ -277,8 +278,8 @@ def test_url_key():
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     r = np.random.default_rng(k)
-    runs = [sorted((b"k%d" % r.integers(0, 5), int(r.integers(0, 3)), int(r.integers(0, 99)), "f", 0, 0) for _ in range(r.integers(0, 20))) for _ in range(k)]
-    assert [e[:3] for e in warc.LoserTree(runs)] == sorted(e[:3] for x in runs for e in x)
+    runs = [sorted((b"k%d" % r.integers(0, 5), int(r.integers(0, 3)), int(r.integers(0, 99)), True, "f", 0, 0) for _ in range(r.integers(0, 20))) for _ in range(k)]
+    assert [e[:4] for e in warc.LoserTree(runs)] == sorted(e[:4] for x in runs for e in x)
 
 
 def test_rolling_windows_and_packing():
