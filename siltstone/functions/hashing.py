@@ -30,6 +30,11 @@ def little_endian(x: Column, n: int) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 2 * (n - k) - 1, 2) for k in range(n)]))
 
 
+def from_little_endian(b: Column, at: Column, n: int) -> Column:
+    """The number in the n bytes from place at (from 1) on, lowest first."""
+    return F.conv(F.concat(*[F.lpad(F.hex(F.substring(b, at + k, 1)), 2, "0") for k in reversed(range(n))]), 16, 10).cast("long")
+
+
 def record_tail(ts: Column, tombstone: Column, key: Column, value: Column) -> Column:
     """A stored record without its checksum, little-endian: timestamp (16 bytes), tombstone, sizes (8 each), key, value."""
     k, v = key.cast("binary"), value.cast("binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .resolve import latest_per_key
 
 
@@ -40,8 +41,10 @@ def merge_step(runs: DataFrame, level: int, bottom: bool) -> DataFrame:
 def compact(runs: DataFrame, max_levels: int) -> DataFrame:
     """All levels in turn. runs: level, sstable (dense from 0 in each level, older first), key, ord and the rest.
 
-    A level takes the merged runs when it is empty, as in a first compaction.
+    A level takes the merged runs when it is empty, as in a first compaction. Each level is written once, as a store's is;
+    the next one reads it from there.
     """
+    runs = written(runs, "level-1")
     for level in range(1, max_levels):
-        runs = merge_step(runs, level, bottom=level + 1 == max_levels)
+        runs = written(merge_step(runs, level, bottom=level + 1 == max_levels), f"level-{level + 1}")
     return runs

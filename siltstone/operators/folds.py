@@ -32,8 +32,9 @@ class FlushFold:
 
 
 class LruFold:
-    """hit: the key was cached before the operation. Puts and gets move it to the front (a missed get brings it in if
-    it exists, which is the caller's filter), deletes remove it. state: cached keys, least recent first."""
+    """hit: the key was cached before the operation. Puts and gets move it to the front, and bring it in if it isn't there
+    (a get stands for one that a run answers; those of the memtable or of no key are for the caller to leave out); deletes remove it. state: cached keys, least recent
+    first."""
 
     columns = {"hit": pa.bool_(), "state": pa.string()}
 
@@ -44,7 +45,7 @@ class LruFold:
         hit = key in self.keys
         if op == "delete":
             self.keys.pop(key, None)
-        elif op == "put" or hit:
+        else:
             self.keys[key] = None
             self.keys.move_to_end(key)
             if len(self.keys) > self.capacity:

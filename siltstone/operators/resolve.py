@@ -22,8 +22,12 @@ def snapshot(log: DataFrame) -> DataFrame:
 
 
 def get(log: DataFrame, key: str) -> DataFrame:
-    """The live record of one key; the filter reaches the scan."""
-    return snapshot(log.filter(F.col("key") == key))
+    """The live record of one key. Where the log has the key as it is stored (typed_key), the equality reaches the scan."""
+    mine = log.filter(F.col("key") == key)
+    if "typed_key" in log.columns:
+        stored = F.lit(key).try_cast(log.schema["typed_key"].dataType)
+        mine = mine.filter(F.col("typed_key") == stored)
+    return snapshot(mine)
 
 
 def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:

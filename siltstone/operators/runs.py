@@ -99,11 +99,17 @@ def bloom(runs: DataFrame, m: int, k: int) -> DataFrame:
     return at.groupBy("level", "sstable").agg(F.array_sort(F.collect_set("position")).alias("positions"))
 
 
-def bloom_probe(filters: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
-    """level, sstable, key, maybe for each probe and run: a stated set of probes against all filters."""
-    p = probes.withColumn("_at", F.array(*[F.pmod(hash32(i, F.col("key")), F.lit(m)) for i in range(k)]))
-    every = filters.crossJoin(F.broadcast(p))
-    return every.select("level", "sstable", "key", F.forall("_at", lambda x: F.array_contains("positions", x)).alias("maybe"))
+def bloom_probe(runs: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
+    """level, sstable, key of the runs whose filter may hold a probe (key, unique); all others needn't be read.
+
+    Probes meet kinds of filters by their positions, of which m and k bound the number, then the runs of those kinds; what
+    comes out are the maybes, which are what a reader reads.
+    """
+    at = F.array_sort(F.array_distinct(F.array(*[F.pmod(hash32(i, F.col("key")), F.lit(m)) for i in range(k)])))
+    filters = bloom(runs, m, k)
+    p = probes.withColumn("_at", at)
+    says = p.select("_at").distinct().crossJoin(filters.select("positions").distinct()).filter(F.forall("_at", lambda x: F.array_contains("positions", x)))  # kinds of either
+    return p.join(says, "_at").join(filters, "positions").select("level", "sstable", "key")
 
 
 def bloom_outcomes(runs: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
@@ -125,6 +131,21 @@ def bloom_outcomes(runs: DataFrame, probes: DataFrame, m: int, k: int) -> DataFr
     return out.select("key", "true_positive", false_positive.alias("false_positive"), false_negative.alias("false_negative"), (F.col("_all") - F.col("_maybe") - false_negative).alias("true_negative"))
 
 
+def get_over_runs(runs: DataFrame, probes: DataFrame, m: int, k: int) -> DataFrame:
+    """The read path over runs, for probes (key, unique): key, found, value, sstable, and the runs that each step leaves.
+
+    in_range: runs whose key range holds the key; maybe: runs whose filter does; held: runs whose index has it. The newest
+    of those answers, and a delete there means that the key isn't found. sstable: the run that answered.
+    """
+    passed = bloom_outcomes(runs, probes, m, k).select("key", (F.col("true_positive") + F.col("false_positive")).alias("maybe"))
+    ranged = prune(summary(runs), probes).select("key", F.col("kept").alias("in_range"))
+    here = runs.join(probes.select("key"), "key", "left_semi")
+    newest = latest_per_key(here).select("key", F.col("sstable"), F.when(~F.col("tombstone"), F.col("value")).alias("value"), (~F.col("tombstone")).alias("found"))
+    held = here.groupBy("key").agg(F.count("*").alias("held"))
+    out = probes.select("key").join(ranged, "key").join(passed, "key").join(held, "key", "left").join(newest, "key", "left")
+    return out.select("key", F.coalesce("found", F.lit(False)).alias("found"), "value", "sstable", "in_range", "maybe", F.coalesce("held", F.lit(0)).alias("held"))
+
+
 def element_text(ts, tombstone, key, value):
     """A record as one printed line (a fixed format)."""
     return F.format_string(

@@ -50,6 +50,11 @@ def cms(df: DataFrame, item: Column, depth: int, width: int, independent_rows: b
     return cells.groupBy(F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(F.sum("n").alias("cnt"))
 
 
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """One table of Count-Min cells from several of the same size: counts add up."""
+    return cells.groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
+
+
 def cms_frequency(cells: DataFrame, probes: DataFrame, depth: int, width: int, independent_rows: bool = True) -> DataFrame:
     """item, estimate of each probe (item, distinct): the least of its cells. The sketch has depth * width cells."""
     at = probes.select("item", F.explode(_cells(F.col("item"), depth, width, independent_rows)).alias("c")).select("item", "c.*")

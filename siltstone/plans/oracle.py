@@ -6,7 +6,7 @@ LOG = """log AS (SELECT event_id, epoch_us(ts) // 1000000 AS ts, epoch_us(ts) AS
     row_number() OVER (ORDER BY ts, event_id) AS seq FROM events)"""
 LATEST = LOG + ", latest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
 SIZE = "(37 + octet_length(encode(key)) + octet_length(encode(value)))"
-PROBES = """probes AS (SELECT unnest([u::VARCHAR, 'x' || u::VARCHAR]) AS key FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 10 = 0))"""
+PROBES = """probes AS (SELECT unnest([u::VARCHAR, 'x' || u::VARCHAR]) AS key FROM (SELECT DISTINCT user_id AS u FROM events))"""
 #: The segment of each operation, by a recursion that carries the keys of the open segment.
 SEGMENTS = LOG + """, steps AS (
     SELECT seq, key, 0::BIGINT AS segment, [key] AS keys FROM log WHERE seq = 1
@@ -57,7 +57,20 @@ def _pair(level: int, source: str, target: str, bottom: bool) -> str:
         left_{level} AS (SELECT level, sstable, key, value, ts, us, event_id, tombstone FROM {source} WHERE sstable % 2 = 0 AND sstable = (SELECT max(sstable) FROM {source}))"""
 
 
-COMPACTED = RUNS + _pair(1, "runs", "two", False) + _pair(2, "two", "three", True) + """, compacted AS (SELECT * FROM three UNION ALL SELECT * FROM left_1 UNION ALL SELECT * FROM left_2)"""
+COMPACTED = RUNS + "".join(_pair(k, "runs" if k == 1 else f"merged_{k}", f"merged_{k + 1}", k == 4) for k in range(1, 5)) + """,
+    compacted AS (SELECT * FROM merged_5 UNION ALL SELECT * FROM left_1 UNION ALL SELECT * FROM left_2 UNION ALL SELECT * FROM left_3 UNION ALL SELECT * FROM left_4)"""
+#: CRC-32 by its rule: a table of 256 entries, each of eight steps of the polynomial, and a pass over the bytes in hex.
+CRC = """poly AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t)"""
+
+
+def crc32(text: str) -> str:
+    """Of bytes in hex; needs CRC's table as poly.t."""
+    byte = f"list_transform(range(length({text}) // 2), lambda i: ('0x' || substr({text}, (2 * i + 1)::INT, 2))::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
+
+
+def little_endian(x: str) -> str:
+    return f"array_to_string(list_transform(range(8), lambda k: printf('%02x', (({x}) >> (8 * k)::INT) & 255)), '')"
 
 SQL: dict[str, str] = {
     "kv_latest_per_key": f"WITH {LATEST} SELECT key, value, ts, tombstone, {SIZE} AS record_size FROM latest",
@@ -96,7 +109,40 @@ SQL: dict[str, str] = {
     "merkle_root": f"WITH RECURSIVE {LEAVES} SELECT sstable, root FROM tree",
     "merkle_preorder": f"""WITH RECURSIVE {LEAVES}, z AS (SELECT *, repeat('0', 40) AS o FROM tree)
         SELECT sstable, unnest(range(1, 16)) AS place, unnest([root, ab, a, o, o, b, o, o, cd, c, o, o, d, o, o]) AS hash FROM z""",
-    "crc_verify": "SELECT count(*) AS n, 0::BIGINT AS bad FROM events",
+    "crc_verify": f"""WITH {LOG}, {CRC}, b AS (SELECT tombstone, lower(hex(encode(value))) AS v FROM log),
+        c AS (SELECT tombstone, v, {crc32("v")} AS stored, {crc32("(substr(v, 1, length(v) - 2) || '00')")} AS damaged FROM b, poly)
+        SELECT count(*) AS n, count(*) FILTER (tombstone AND stored <> damaged) AS bad, sum(stored)::BIGINT AS stored_sum FROM c""",
+    "wal_crc": f"""WITH {LOG}, {CRC}, b AS (SELECT event_id, {little_endian("ts")} || repeat('00', 8) || CASE WHEN tombstone THEN '01' ELSE '00' END
+            || {little_endian("octet_length(encode(key))")} || {little_endian("octet_length(encode(value))")} || lower(hex(encode(key))) || lower(hex(encode(value))) AS r FROM log)
+        SELECT event_id, {crc32("r")} AS crc FROM b, poly""",
+    "kv_get_over_runs": f"""WITH RECURSIVE {RUNS}, {PROBES}, newest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY sstable DESC) = 1),
+        f AS (SELECT sstable, min(key) AS a, max(key) AS b, list({h32("0::VARCHAR", "key")} % 8) || list({h32("1::VARCHAR", "key")} % 8) AS pos, list(key) AS keys FROM runs GROUP BY 1),
+        q AS (SELECT key, {h32("0::VARCHAR", "key")} % 8 AS p0, {h32("1::VARCHAR", "key")} % 8 AS p1 FROM probes),
+        n AS (SELECT key, count(*) FILTER (key BETWEEN a AND b) AS in_range, count(*) FILTER (list_contains(pos, p0) AND list_contains(pos, p1)) AS maybe, count(*) FILTER (list_contains(keys, key)) AS held FROM q, f GROUP BY key)
+        SELECT key, coalesce(NOT tombstone, false) AS found, CASE WHEN NOT tombstone THEN value END AS value, sstable, in_range, maybe, held FROM n LEFT JOIN newest USING (key)""",
+    "memtable_dump": f"WITH RECURSIVE {RUNS} SELECT row_number() OVER (ORDER BY key) AS place, key, value, tombstone FROM runs WHERE sstable = (SELECT max(sstable) FROM runs)",
+    "write_path": f"""WITH RECURSIVE {LOG}, asked AS (
+            SELECT seq, ts AS start, 1 AS used, true AS admitted FROM log WHERE seq = 1
+            UNION ALL
+            SELECT l.seq, CASE WHEN l.ts - s.start >= 600 THEN l.ts ELSE s.start END, CASE WHEN l.ts - s.start >= 600 THEN 1 ELSE least(10, s.used + 1) END, l.ts - s.start >= 600 OR s.used < 10
+            FROM asked s JOIN log l ON l.seq = s.seq + 1),
+        kept AS (SELECT l.event_id, l.key, l.tombstone, row_number() OVER (ORDER BY seq) AS n FROM asked JOIN log l USING (seq) WHERE admitted),
+        steps AS (
+            SELECT n, 0::BIGINT AS segment, [key] AS keys FROM kept WHERE n = 1
+            UNION ALL
+            SELECT l.n, CASE WHEN list_contains(s.keys, l.key) OR len(s.keys) < 4 THEN s.segment ELSE s.segment + 1 END,
+                CASE WHEN list_contains(s.keys, l.key) THEN s.keys WHEN len(s.keys) < 4 THEN list_append(s.keys, l.key) ELSE [l.key] END
+            FROM steps s JOIN kept l ON l.n = s.n + 1)
+        SELECT event_id, CASE WHEN tombstone THEN 'delete' ELSE 'put' END AS outcome, segment FROM steps JOIN kept USING (n)
+        UNION ALL SELECT event_id, 'throttled', NULL FROM asked JOIN log USING (seq) WHERE NOT admitted""",
+    "hll_stored": _hll_estimate(1, "l_returnflag"),
+    "cms_stored": _cms() + " SELECT row, col, cnt FROM cells",
+    "lru_with_gets": f"""WITH RECURSIVE {LOG}, steps AS (
+        SELECT 0::BIGINT AS seq, []::VARCHAR[] AS keys, false AS hit
+        UNION ALL
+        SELECT l.seq, CASE WHEN l.tombstone THEN list_filter(s.keys, lambda x: x <> l.key) ELSE (list_append(list_filter(s.keys, lambda x: x <> l.key), l.key))[-2:] END, list_contains(s.keys, l.key)
+        FROM steps s JOIN log l ON l.seq = s.seq + 1)
+        SELECT event_id, hit, array_to_string(keys, ',') AS state FROM steps JOIN log USING (seq)""",
     "compaction_merge_pair": f"WITH RECURSIVE {RUNS}{_pair(1, 'runs', 'two', False)} SELECT sstable, key, value, ts, tombstone FROM two",
     "compaction_levels": f"WITH RECURSIVE {COMPACTED} SELECT level, sstable, key, value, ts, tombstone FROM compacted",
     "compaction_keeps_snapshot": f"WITH {LATEST} SELECT key, value, ts FROM latest WHERE NOT tombstone",

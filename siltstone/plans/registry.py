@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
-from ..functions.hashing import log_crc, record_size, value_crc
+from ..functions.hashing import HEADER_BYTES, from_little_endian, log_crc, record_size
 from ..operators import compaction, folds, merkle, resolve, runs, sketches, wal
 from ..sources.oplog import events_log, orders_log, with_seq
+from ..sources.record_files import data_record
+from ..sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOOM_M, BLOOM_K = runs.bloom_size(C.memtable_threshold, C.false_positive_rate)
 CMS_DEPTH, CMS_WIDTH = sketches.cms_size(C.cms_epsilon, C.cms_delta)
 HLL_P = 6
-LEVELS = 3  # of compaction_levels, as its SQL has them
 RECORD = ("key", "value", "ts", "tombstone")
 
 
@@ -34,11 +35,6 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that are looked up in queries with SQL, which has the same choice: every tenth user id, and as many that don't exist."""
-    return _twins(_ids(spark, sf_dir).filter("user_id % 10 = 0"))
-
-
-def _every_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user id, and as many keys that don't exist."""
     return _twins(_ids(spark, sf_dir))
 
@@ -76,11 +72,6 @@ def kv_multi_get(spark, sf_dir):
     return resolve.multi_get(events_log(spark, sf_dir), _probes(spark, sf_dir)).select("key", "found", "value")
 
 
-@query
-def kv_multi_get_all(spark, sf_dir):
-    return resolve.multi_get(events_log(spark, sf_dir), _every_probe(spark, sf_dir)).select("key", "found", "value")
-
-
 @query
 def kv_deleted_keys(spark, sf_dir):
     return resolve.latest_per_key(events_log(spark, sf_dir)).filter("tombstone").select("key", "ts")
@@ -152,11 +143,6 @@ def summary_prune(spark, sf_dir):
     return runs.prune(runs.summary(_runs(spark, sf_dir)), _probes(spark, sf_dir))
 
 
-@query
-def summary_prune_all(spark, sf_dir):
-    return runs.prune(runs.summary(_runs(spark, sf_dir)), _every_probe(spark, sf_dir))
-
-
 @query
 def index_lookup(spark, sf_dir):
     """Each probe's entries in the runs that have it: run, and offset of the record."""
@@ -164,8 +150,26 @@ def index_lookup(spark, sf_dir):
 
 
 @query
-def index_lookup_all(spark, sf_dir):
-    return runs.index(_runs(spark, sf_dir)).join(_every_probe(spark, sf_dir), "key").select("key", "sstable", "data_offset")
+def kv_get_over_runs(spark, sf_dir):
+    """Every probe by range, filter, index and data of all runs."""
+    return runs.get_over_runs(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), _probes(spark, sf_dir), BLOOM_M, BLOOM_K)
+
+
+@query
+def memtable_dump(spark, sf_dir):
+    """The records of the open memtable, which is the last segment, in key order."""
+    r = _runs(spark, sf_dir)
+    last = r.join(F.broadcast(r.agg(F.max("sstable").alias("sstable"))), "sstable")  # one row
+    return runs.sorted_scan(last).select("place", "key", "value", "tombstone")
+
+
+@query
+def write_path(spark, sf_dir):
+    """Each operation's outcome: throttled ones go nowhere, admitted ones into the log and a memtable segment."""
+    asked = folds.rate_limit(events_log(spark, sf_dir), C.token_bucket_max_token_num, 60 * C.token_bucket_reset_interval).drop("shard", "window_start")
+    kept = folds.flush_segments(asked.filter("admitted"), C.memtable_threshold)
+    out = kept.select(F.col("ord.tie").alias("event_id"), F.col("op").alias("outcome"), "segment")
+    return out.unionByName(asked.filter("not admitted").select(F.col("ord.tie").alias("event_id"), F.lit("throttled").alias("outcome"), F.lit(None).cast("long").alias("segment")))
 
 
 @query
@@ -184,11 +188,6 @@ def bloom_probe(spark, sf_dir):
     return runs.bloom_outcomes(_runs(spark, sf_dir), _probes(spark, sf_dir), BLOOM_M, BLOOM_K)
 
 
-@query
-def bloom_probe_all(spark, sf_dir):
-    return runs.bloom_outcomes(_runs(spark, sf_dir), _every_probe(spark, sf_dir), BLOOM_M, BLOOM_K)
-
-
 @query
 def merkle_leaves(spark, sf_dir):
     return merkle.leaves(_runs(spark, sf_dir), C.memtable_threshold).select("sstable", "idx", "hash")
@@ -208,12 +207,14 @@ def merkle_preorder(spark, sf_dir):
 
 @query
 def crc_verify(spark, sf_dir):
-    """Rows whose stored checksum doesn't fit, after a record has gone through its byte layout."""
-    from ..sources.record_files import data_record
-
-    rec = events_log(spark, sf_dir).select("value", data_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value")).alias("r"))
-    stored = F.conv(F.concat(*[F.hex(F.expr(f"substring(r, {4 - k}, 1)")) for k in range(4)]), 16, 10).cast("long")
-    return rec.agg(F.count("*").alias("n"), F.sum((stored != value_crc(F.col("value"))).cast("long")).alias("bad"))
+    """Records in their byte layout, those of deletes with a damaged last byte, read back: which checksums don't fit."""
+    rec = events_log(spark, sf_dir).select("tombstone", data_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value")).alias("r"))
+    damaged = F.concat(F.expr("substring(r, 1, octet_length(r) - 1)"), F.unhex(F.lit("00")))
+    rec = rec.select(F.when(F.col("tombstone"), damaged).otherwise(F.col("r")).alias("r"))
+    key_size, value_size = (from_little_endian(F.col("r"), F.lit(1 + at), 8) for at in (21, 29))
+    stored = from_little_endian(F.col("r"), F.lit(1), 4)
+    read = rec.select(stored.alias("stored"), F.crc32(F.substring("r", 1 + HEADER_BYTES + key_size.cast("int"), value_size.cast("int"))).alias("crc"))
+    return read.agg(F.count("*").alias("n"), F.sum((F.col("stored") != F.col("crc")).cast("long")).alias("bad"), F.sum("stored").alias("stored_sum"))
 
 
 @query
@@ -224,11 +225,6 @@ def compaction_merge_pair(spark, sf_dir):
 
 @query
 def compaction_levels(spark, sf_dir):
-    return compaction.compact(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), LEVELS).select("level", "sstable", *RECORD)
-
-
-@query
-def compaction_levels_all(spark, sf_dir):
     return compaction.compact(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), C.max_levels).select("level", "sstable", *RECORD)
 
 
@@ -264,6 +260,28 @@ def hll_by_flag(spark, sf_dir):
     return sketches.hll_estimate(r, HLL_P, by=("l_returnflag",)).select("l_returnflag", F.round("estimate", 4).alias("estimate"))
 
 
+def _halves(spark, sf_dir, *columns):
+    """Lineitems in two parts, as they would come to a stored sketch."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", *columns, F.col("l_partkey").cast("string").alias("item"))
+    return d.filter("l_linestatus = 'O'"), d.filter("l_linestatus <> 'O' or l_linestatus is null")
+
+
+@query
+def hll_stored(spark, sf_dir):
+    """A sketch for each flag is created and stored; later rows are added to what is read back; then it is asked."""
+    by = ("l_returnflag",)
+    first, later = (sketches.hll_registers(d, F.col("item"), HLL_P, by=by) for d in _halves(spark, sf_dir, *by))
+    grown = written(sketches.merge_registers(written(first, "hll").unionByName(later), by), "hll")
+    return sketches.hll_estimate(grown, HLL_P, by=by).select("l_returnflag", F.round("estimate", 4).alias("estimate"))
+
+
+@query
+def cms_stored(spark, sf_dir):
+    """The same with Count-Min cells."""
+    first, later = (sketches.cms(d, F.col("item"), CMS_DEPTH, CMS_WIDTH) for d in _halves(spark, sf_dir))
+    return written(sketches.merge_cells(written(first, "cms").unionByName(later)), "cms")
+
+
 @query
 def hll_builtin(spark, sf_dir):
     """Spark's own sketch, of 2**12 registers, against the exact count: within five standard errors."""
@@ -303,6 +321,15 @@ def lru_hits(spark, sf_dir):
     return h.groupBy("key").agg(F.count("*").alias("puts"), F.sum(F.col("hit").cast("long")).alias("hits"))
 
 
+@query
+def lru_with_gets(spark, sf_dir):
+    """Views are gets, which bring in what they read; errors are deletes; the rest are puts."""
+    log = events_log(spark, sf_dir)
+    views = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("tie"), (F.col("event_type") == "view").alias("view"))
+    log = log.withColumn("tie", F.col("ord.tie")).join(views, "tie").withColumn("op", F.when(F.col("view"), "get").otherwise(F.col("op"))).drop("tie", "view")
+    return folds.lru(log, C.cache_capacity).select(F.col("ord.tie").alias("event_id"), "hit", "state")
+
+
 @query
 def lru_with_deletes(spark, sf_dir):
     h = folds.lru(events_log(spark, sf_dir), C.cache_capacity)

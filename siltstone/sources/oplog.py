@@ -5,9 +5,11 @@ Columns: ts (whole seconds), ord (a struct that orders the log without ties), ke
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -20,9 +22,14 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, cast({column} as timestamp_ntz))")
 
 
-def oplog(df: DataFrame, ts: str, tie: str, key: Column, value: Column, tombstone: Column) -> DataFrame:
-    """A log from any table with a timestamp, a unique number that breaks ties, and columns for the rest."""
+def oplog(df: DataFrame, ts: str, tie: str, key: Column, value: Column, tombstone: Column, typed_key: Column | None = None) -> DataFrame:
+    """A log from any table with a timestamp, a unique number that breaks ties, and columns for the rest.
+
+    typed_key: the column that key is the text of, kept as typed_key: a filter on it can be pushed into the scan.
+    """
+    extra = [] if typed_key is None else [typed_key.alias("typed_key")]
     return df.select(
+        *extra,
         seconds(ts).alias("ts"),
         F.struct(micros(ts).alias("us"), F.col(tie).alias("tie")).alias("ord"),
         key.alias("key"),
@@ -34,7 +41,7 @@ def oplog(df: DataFrame, ts: str, tie: str, key: Column, value: Column, tombston
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return oplog(e, "ts", "event_id", F.col("user_id").cast("string"), F.col("props"), F.col("event_type") == "error")
+    return oplog(e, "ts", "event_id", F.col("user_id").cast("string"), F.col("props"), F.col("event_type") == "error", F.col("user_id"))
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +55,14 @@ def clean_input(text: Column) -> Column:
 
 
 def with_seq(log: DataFrame) -> DataFrame:
-    """seq from 1 in log order, without a window over all rows: a range sort, counts of its partitions, their sums."""
-    ordered = log.orderBy("ord").withColumn("_id", F.monotonically_increasing_id())
-    part, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    c = counts.alias("c")
-    before = c.join(counts.alias("b"), F.expr("b._part < c._part"), "left").groupBy("c._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    rows = ordered.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row for each partition
-    return rows.withColumn("seq", F.col("_before") + local + 1).drop("_part", "_id", "_before")
+    """seq from 1 in log order, without a window over all rows.
+
+    The log is range-sorted once and written with each row's partition and place in it, so that counts and rows are of one
+    evaluation; running sums over the partitions' counts (a row for each partition) number the rows.
+    """
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = log.repartitionByRange(parts, "ord").sortWithinPartitions("ord")
+    placed = written(ordered.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "log")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(counts), "_part").withColumn("seq", F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")

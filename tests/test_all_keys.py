@@ -38,13 +38,13 @@ def rows(spark, sf, name, *columns):
 def test_multi_get(spark, sf, log, keys):
     last = {k: (v, dead) for k, v, dead in log}
     live = {k: v for k, (v, dead) in last.items() if not dead}
-    assert rows(spark, sf, "kv_multi_get_all", "key", "found", "value") == [(k, k in live, live.get(k)) for k in keys]
+    assert rows(spark, sf, "kv_multi_get", "key", "found", "value") == [(k, k in live, live.get(k)) for k in keys]
 
 
 def test_prune(spark, sf, flushed, keys):
     kept = {k: sum(min(r) <= k <= max(r) for r in flushed) for k in keys}
     assert any(kept.values())
-    assert rows(spark, sf, "summary_prune_all", "key", "kept", "pruned") == [(k, kept[k], len(flushed) - kept[k]) for k in keys]
+    assert rows(spark, sf, "summary_prune", "key", "kept", "pruned") == [(k, kept[k], len(flushed) - kept[k]) for k in keys]
 
 
 def test_index_lookup(spark, sf, flushed):
@@ -54,7 +54,7 @@ def test_index_lookup(spark, sf, flushed):
         for k in sorted(r):
             want.append((k, i, offset))
             offset += 37 + len(k.encode()) + len(r[k].encode())
-    assert rows(spark, sf, "index_lookup_all", "key", "sstable", "data_offset") == sorted(want)
+    assert rows(spark, sf, "index_lookup", "key", "sstable", "data_offset") == sorted(want)
 
 
 def test_bloom(spark, sf, flushed, keys):
@@ -64,15 +64,15 @@ def test_bloom(spark, sf, flushed, keys):
     for k in keys:
         said, true = [at[k] <= f for f in filters], [k in r for r in flushed]
         want.append((k, *(sum(s == a and t == b for s, t in zip(said, true)) for a, b in ((True, True), (True, False), (False, True), (False, False)))))
-    got = rows(spark, sf, "bloom_probe_all", "key", "true_positive", "false_positive", "false_negative", "true_negative")
+    got = rows(spark, sf, "bloom_probe", "key", "true_positive", "false_positive", "false_negative", "true_negative")
     assert got == want and any(w[2] for w in want)
 
 
 def test_outcomes_equal_the_pairs(spark, sf):
     """Other filter sizes, against probes of each run."""
     r = registry._runs(spark, sf)
-    probes = registry._every_probe(spark, sf)
-    maybe = {(x["sstable"], x["key"]) for x in R.bloom_probe(R.bloom(r, 14, 3), probes, 14, 3).filter("maybe").collect()}
+    probes = registry._probes(spark, sf)
+    maybe = {(x["sstable"], x["key"]) for x in R.bloom_probe(r, probes, 14, 3).collect()}
     held = {(x["sstable"], x["key"]) for x in r.select("sstable", "key").collect()}
     for x in R.bloom_outcomes(r, probes, 14, 3).collect():
         m, t = ({s for s, k in pairs if k == x["key"]} for pairs in (maybe, held))

@@ -25,6 +25,6 @@ def test_all_levels(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("ts", "event_id", "user_id", "event_type = 'error' as dead", "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) as s").collect()
     log = [(str(r["user_id"]), r["s"], r["dead"]) for r in sorted(e, key=lambda r: (r["ts"], r["event_id"]))]
     want = sorted((level, i, k, ts, dead) for (level, i), run in compacted(log, DEFAULT.max_levels).items() for k, (ts, dead) in run.items())
-    got = sorted(tuple(r[c] for c in ("level", "sstable", "key", "ts", "tombstone")) for r in registry.QUERIES["compaction_levels_all"](spark, sf).collect())
+    got = sorted(tuple(r[c] for c in ("level", "sstable", "key", "ts", "tombstone")) for r in registry.QUERIES["compaction_levels"](spark, sf).collect())
     assert got == want
     assert max(level for level, *_ in got) == DEFAULT.max_levels == 5
