@@ -2,8 +2,10 @@
 
 The risk of a classifier f from positives P and unlabelled rows U with class prior p is estimated as
 p * E_P[loss(f)] + max(0, E_U[loss(-f)] - p * E_P[loss(-f)]), with the logistic loss. Where the second part would fall
-below zero the step goes against it, so that training can't fit U as negative. Rows are drawn by a hash of the id and
-bounded in number; features are computed where the rows are, and only the sample's features reach the driver.
+below zero the step goes against it, so that training can't fit U as negative. The class prior is given, or the share of
+positives among labelled rows, or estimated from P and U alone: P is told from U by plain logistic regression, each fold of the sample by a classifier of the others, and over these
+scores the least ratio of the share of U above a threshold to that of P bounds the prior. Rows are drawn by a hash of the id and bounded in number;
+features are computed where the rows are, and only the sample's features reach the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ CHUNK = 1 << 20
 MOST_POSITIVES = 4_000
 MOST_UNLABELLED = 8_000
 STEPS = 600
+PRIOR_FOLDS, PRIOR_STEPS, PRIOR_PENALTY = 5, 60, 1e-3  # of the classifiers that the prior is estimated with: few steps, as P may be few
+UNKNOWN_PRIOR = 0.5  # where there are too few rows to estimate it
 MOST_TERMS = 2_000
 PUNCTUATION = np.flatnonzero(np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(128)]))
 N_DENSE = 10 + len(PUNCTUATION)
@@ -81,14 +85,13 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @K.tidy
 def _sample_features(batches):
     for batch in batches:
-        label = batch.column(0).to_numpy(zero_copy_only=False)
         for i, buf, offsets in K.texts(batch, "text", CHUNK):
             dense, owner, term = features(buf, offsets)
             n = len(dense)
             bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
             yield pa.record_batch(
-                [pa.array(label[i : i + n]), pa.ListArray.from_arrays(pa.array(np.arange(0, n * N_DENSE + 1, N_DENSE, dtype=np.int32)), pa.array(dense.ravel().astype(np.float32))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))],
-                ["positive", "dense", "terms"],
+                [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.ListArray.from_arrays(pa.array(np.arange(0, n * N_DENSE + 1, N_DENSE, dtype=np.int32)), pa.array(dense.ravel().astype(np.float32))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))],
+                ["positive", "doc_id", "dense", "terms"],
             )
 
 
@@ -136,8 +139,16 @@ def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.n
     return loss_p + max(0.0, rest), grad
 
 
-def fit(positive: np.ndarray, dense: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, steps: int = STEPS, penalty: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk. row, term: the terms of each row, rows ascending."""
+def contrast(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The logistic risk of telling P from U, each weighing half, and its gradient to z."""
+    p, u = positive, ~positive
+    s = _sigmoid(z)
+    grad = np.where(p, (s - 1) / (2 * p.sum()), s / (2 * u.sum()))
+    return (np.logaddexp(0, -z[p]).mean() + np.logaddexp(0, z[u]).mean()) / 2, grad
+
+
+def fit(positive: np.ndarray, dense: np.ndarray, row: np.ndarray, term: np.ndarray, prior: float, steps: int = STEPS, penalty: float = 1e-4, loss=risk) -> Model:
+    """Full-batch Adam on the loss, by default the non-negative risk. row, term: the terms of each row, rows ascending."""
     n = len(positive)
     if not positive.any() or positive.all():
         return nothing_known()
@@ -161,7 +172,7 @@ def fit(positive: np.ndarray, dense: np.ndarray, row: np.ndarray, term: np.ndarr
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         score = w[0] + x @ w[1 : 1 + N_DENSE] + np.bincount(row, w[1 + N_DENSE :][term], minlength=n)
-        _, g = risk(score, positive, prior)
+        _, g = loss(score, positive, prior)
         grad = np.concatenate([[g.sum()], x.T @ g, np.bincount(term, g[row], minlength=len(chosen))])
         grad[1:] += penalty * w[1:]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -172,37 +183,70 @@ def fit(positive: np.ndarray, dense: np.ndarray, row: np.ndarray, term: np.ndarr
     return Model(float(w[0] - d @ mean), d, terms, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, prior: float | None = None, fold: tuple[int, int] = (5, 0), seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def least_ratio(p: np.ndarray, u: np.ndarray, doubt: float = 0.1) -> float:
+    """The prior by scores of positives and of unlabelled rows: with a share q_p of P and q_u of U above a threshold, no
+    more than q_u / q_p of U can be positive. The threshold is that where the ratio and its error, at a probability of
+    doubt, are least; without rows of either kind, UNKNOWN_PRIOR."""
+    if not len(p) or not len(u):
+        return UNKNOWN_PRIOR
+    at = np.unique(p)
+    q_p = 1 - np.searchsorted(np.sort(p), at, "left") / len(p)
+    q_u = 1 - np.searchsorted(np.sort(u), at, "left") / len(u)
+    error = np.sqrt(np.log(4 / doubt) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    best = np.argmin((q_u + error) / q_p)
+    return float(min(1.0, q_u[best] / q_p[best]))
+
+
+def estimate_prior(positive: np.ndarray, dense: np.ndarray, row: np.ndarray, term: np.ndarray) -> float:
+    """The class prior of a sample (see fit), without a look at any row that is known to be negative."""
+    n = len(positive)
+    fold = np.zeros(n, int)
+    for kind in (True, False):
+        at = np.flatnonzero(positive == kind)
+        if len(at) < PRIOR_FOLDS:
+            return UNKNOWN_PRIOR
+        fold[at] = np.arange(len(at)) % PRIOR_FOLDS
+    z = np.zeros(n)
+    for k in range(PRIOR_FOLDS):
+        own = fold != k
+        number, mine = np.cumsum(own) - 1, own[row]
+        model = fit(positive[own], dense[own], number[row[mine]], term[mine], 0.5, PRIOR_STEPS, PRIOR_PENALTY, contrast)
+        z[~own] = (model.bias + dense @ model.dense + np.bincount(row, model.terms[term], minlength=n))[~own]
+    return least_ratio(z[positive], z[~positive])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, prior: float | str = "unlabelled", fold: tuple[int, int] = (5, 0), seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of P(label = 1) from rows outside the held-out fold.
 
     At most about MOST_POSITIVES rows labelled 1 and MOST_UNLABELLED rows, whatever their label, drawn by a hash of the
-    id. prior: the share of positives; None estimates it as the share among the labelled rows outside the fold, which
-    says nothing of single rows. Null labels and ids are passed over; an id that is labelled more than once counts once
-    in the sample. Without a positive row the model scores 0.
+    id. prior: the share of positives among all rows; "unlabelled" estimates it from the sample of positives and unlabelled
+    rows (estimate_prior), "labels" takes the share among the labelled rows outside the fold. Labels of 0 have no other
+    part. Null labels and ids are passed over; an id counts once in the sample, however often it is labelled or rows repeat it (with
+    the least of its texts). Without a positive row, or without rows, the model scores 0.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).alias("label")).filter("label is not null and doc_id is not null")
     known = known.filter(~held_out(F.col("doc_id"), *fold))
+    n_known, known = known.count(), known.filter("label = 1").select("doc_id").distinct()
     d = text_of(docs, id_col, text_col).filter("doc_id is not null").filter(~held_out(F.col("doc_id"), *fold))
-    n_pos, n_known = known.agg(F.sum((F.col("label") == 1).cast("long")), F.count("*")).first()
-    n_all = d.select("doc_id").count()
+    n_pos, n_all = known.count(), d.select("doc_id").count()
     if not n_pos or not n_all:
         return nothing_known()
-    if prior is None:
-        prior = n_pos / n_known
-    prior = min(max(prior, 0.005), 0.995)
     drawn = lambda n, most, salt: F.pmod(F.xxhash64("doc_id", F.lit(seed + salt)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
-    ids = known.filter("label = 1").filter(drawn(n_pos, MOST_POSITIVES, 0)).select("doc_id", F.lit(True).alias("positive"))
+    ids = known.filter(drawn(n_pos, MOST_POSITIVES, 0)).select("doc_id", F.lit(True).alias("positive"))
     ids = ids.union(d.filter(drawn(n_all, MOST_UNLABELLED, 1)).select("doc_id", F.lit(False)))
-    # distinct ids, drawn to a bounded number: small enough to broadcast, so no text is shuffled
-    rows = d.join(F.broadcast(ids.distinct()), "doc_id").select("positive", "doc_id", "text").sortWithinPartitions("doc_id", "positive")
-    t = rows.select("positive", "text").mapInArrow(_sample_features, "positive boolean, dense array<float>, terms array<int>").toArrow()
+    # distinct ids, drawn to a bounded number: small enough to broadcast, so only the sample's texts are shuffled
+    rows = d.join(F.broadcast(ids.distinct()), "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text")).sortWithinPartitions("doc_id", "positive")
+    t = rows.select("positive", "doc_id", "text").mapInArrow(_sample_features, "positive boolean, doc_id long, dense array<float>, terms array<int>").toArrow()
     if not len(t):
         return nothing_known()
+    t = t.sort_by([("doc_id", "ascending"), ("positive", "ascending")])
     positive = t["positive"].to_numpy().astype(bool)
     terms = t["terms"].combine_chunks()
     row = np.repeat(np.arange(len(t)), terms.value_lengths().to_numpy())
-    dense = t["dense"].combine_chunks().flatten().to_numpy().reshape(-1, N_DENSE).astype(float)
-    return fit(positive, dense, row, terms.flatten().to_numpy().astype(np.int64), prior)
+    sample = positive, t["dense"].combine_chunks().flatten().to_numpy().reshape(-1, N_DENSE).astype(float), row, terms.flatten().to_numpy().astype(np.int64)
+    if isinstance(prior, str):
+        prior = {"labels": lambda: n_pos / n_known, "unlabelled": lambda: estimate_prior(*sample)}[prior]()
+    return fit(*sample, min(max(prior, 0.005), 0.995), STEPS)
 
 
 def _score(model: Model):

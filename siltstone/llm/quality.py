@@ -10,7 +10,7 @@ from .pu_learning import score, train
 THRESHOLD = 0.3
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, prior: float | str = "unlabelled") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; see pu_learning.train and score for odd cases.
 
     Learns from labels.quality where crc32 of the id modulo 5 is not 0. An empty table gives no rows; no positive label
