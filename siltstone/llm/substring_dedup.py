@@ -1,9 +1,10 @@
-"""Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
+"""Substring dedup: Rabin-Karp hashes of every fixed-length token window, met in Spark's groups.
 
 Each batch of documents hashes all its windows with a rolling hash and settles repeats among its own documents at once;
 of each window hash it ships one occurrence set, that of the smallest document that has it. Packed blocks of (hash,
 document, position) go to buckets drawn from a second, independent rolling hash, so the bucket number adds to the 64
-bits compared. A bucket finds the windows that a smaller document holds too. The repeated windows of a document merge
+bits compared. Spark groups the blocks by bucket, and a bucket finds the windows that a smaller document holds too, by
+one sort of its hashes in numpy: a row of Spark's for each window would be many times the input in shuffle. The repeated windows of a document merge
 into maximal removal intervals. A window that a third of all documents share is one row for each batch in its bucket.
 
 Hash equality stands for equality of windows: 64 bits and the bucket's (8 to 20). Rows read: the text goes through one

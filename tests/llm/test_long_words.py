@@ -5,6 +5,8 @@ import pyarrow as pa
 
 from siltstone.llm import language_id
 
+from .helpers import corpus, frame
+
 
 def brute(word, pieces, prob):
     """Log of the sum over all segmentations, byte by byte."""
@@ -62,3 +64,22 @@ def test_training_on_long_words():
     model = language_id.fit(words, language_id.vocabulary())
     names, _ = model.score(pa.array(["continue" * 20, "whenever" * 20]))
     assert names == ["a", "b"]
+
+
+def test_the_query_equals_a_plain_forward_pass(spark):
+    """Predictions of whole texts against a recursion byte by byte over all their words, some of hundreds of bytes."""
+    pieces = language_id.vocabulary()
+    words = {"a": ([b"continue" * 8, b"go", "über".encode()], np.array([5, 1, 2])), "b": ([b"whenever" * 8, b"no", b"overview"], np.array([5, 1, 3]))}
+    model = language_id.fit(words, pieces)
+    at = {p: i for i, p in enumerate(pieces)}
+    rows = [(i, t) for i, t in corpus() if t is None or len(t) < 4000] + [(900, "whenever" * 60 + " go 12 Über"), (901, "CONTINUE" * 40 + ", no"), (902, "文章" * 90 + " no")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(frame(spark, rows), model).collect()}
+    for i, t in rows:
+        parts = [w for w in "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (t or "").lower()).split(" ") if w]
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        total = [sum(brute(b" " + w.encode(), at, model.prob[:, k]) for w in parts) for k in range(2)]
+        best = int(np.argmax(total))
+        assert got[i][0] == "ab"[best] or abs(total[0] - total[1]) < 1e-6
+        assert np.isclose(got[i][1], 1 / (1 + math.exp(min(700, total[1 - best] - total[best]))), atol=1e-6)
