@@ -17,35 +17,41 @@ from siltstone.llm.token_output import token_output
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Null texts are scored as empty ones; rows that repeat an id go
+    if one of them is rejected; rows with a null id stay. Other columns go through. An empty table stays empty."""
     release(docs)
     with passing():
         return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar n-gram sets."""
+    """One document of each group of similar n-gram sets, that with the smallest id. Documents without words and rows with
+    a null id are in no group and stay, as do all rows that repeat the id that stays. An empty table stays empty."""
     release(docs)
     with passing():
         return keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passages of the benchmark, or few words of them."""
+    """Documents that hold no passages of the benchmark, or few words of them. Null texts have no words and stay; rows that
+    repeat an id go if one of them is contaminated; rows with a null id stay. An empty table stays empty."""
     release(docs)
     with passing():
         return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix of sources takes them: a row for each epoch, a text cut where its source's budget ends."""
+    """Documents as the mix of sources takes them: a row for each epoch, a text cut where its source's budget ends. Null is
+    a source, the last one; documents without words are never taken; rows that repeat an id, or have none, each take what
+    the one of them does that takes most. An empty table stays empty."""
     release(docs)
     with passing():
         return mixed(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the token files, a row for each row of the mix."""
+    """doc_id, start, n_tokens, ids_crc32 of the token files, a row for each row of the mix, whether its id is null or
+    repeats. A null or empty text has the end id alone. An empty table gives no rows."""
     release(docs)
     return token_output(docs)
 
