@@ -1,12 +1,17 @@
 """Order-dependent folds: memtable flush boundaries, an LRU cache, and a fixed-window rate limiter.
 
-Their state depends on all earlier operations of a store, so a store is folded in order. shards splits the log into
-independent stores by a hash of the key; each is sorted and streamed through a fold whose state is a few keys, never
-gathered. One shard is a single store, whose fold is one task by nature.
+Their state depends on all earlier operations of a store, so a store is folded in order. Flushes and limits don't need one
+task for that: the log is cut into ranges, and what a range makes of any state it may be entered with fits a small
+summary, as there are few places where its first boundary can lie. Summaries of all ranges are chained in order, a few
+numbers for each, and then every range is folded from its own entry state, side by side. An LRU cache with deletes has no
+such summary: one store's is one task. shards splits the log into independent stores by a hash of the key; each is sorted
+and streamed through a fold whose state is a few keys.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -14,6 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+RANGE_BYTES = 32 << 20  # of the log, by Catalyst's estimate, that one task folds
+
 
 class FlushFold:
     """The segment of each operation: a new key that finds the memtable full closes it and opens the next."""
@@ -30,6 +39,53 @@ class FlushFold:
         self.keys.add(key)
         return (self.segment,)
 
+    def state(self) -> tuple:
+        return self.segment, frozenset(self.keys)
+
+    def resume(self, state: tuple) -> None:
+        self.segment, self.keys = state[0], set(state[1])
+
+    def summarise(self, keys: list[str], ts: list[int], ops: list[str]) -> tuple:
+        """The first keys of the range with, for each, what follows if a segment begins there: flushes, and the open keys.
+
+        Whatever is open at the range's begin, the first boundary lies at one of the first threshold + 1 distinct keys.
+        """
+        first: dict[str, int] = {}
+        for place, key in enumerate(keys):
+            if key not in first:
+                first[key] = place
+                if len(first) > self.threshold:
+                    break
+        known: dict[int, tuple[int, frozenset]] = {}
+        for begin in first.values():
+            trail, place = [], begin
+            while place not in known:
+                memtable: set[str] = set()
+                after = None
+                for i in range(place, len(keys)):
+                    if keys[i] not in memtable and len(memtable) >= self.threshold:
+                        after = i
+                        break
+                    memtable.add(keys[i])
+                if after is None:
+                    known[place] = (0, frozenset(memtable))
+                else:
+                    trail.append(place)
+                    place = after
+            flushes, still = known[place]
+            for k, at in enumerate(reversed(trail), 1):
+                known[at] = (flushes + k, still)
+        return [(key, *known[place]) for key, place in first.items()]
+
+    def leave(self, state: tuple, summary: list) -> tuple:
+        segment, still = state
+        for key, flushes, after in summary:
+            if key not in still:
+                if len(still) >= self.threshold:
+                    return segment + 1 + flushes, after
+                still = still | {key}
+        return segment, still
+
 
 class LruFold:
     """hit: the key was cached before the operation. Puts and gets move it to the front, and bring it in if it isn't there
@@ -74,22 +130,68 @@ class RateFold:
             self.used += 1
         return admitted, self.start
 
-
-def fold(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataType], shards: int = 1) -> DataFrame:
-    """log's rows with shard and the fold's columns."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
-    rows = log.withColumn("shard", shard)
-    rows = rows.repartition(shards, "shard") if shards > 1 else rows.coalesce(1)
-    rows = rows.sortWithinPartitions("shard", "ord")
+    def state(self) -> tuple:
+        return self.start, self.used
+
+    def resume(self, state: tuple) -> None:
+        self.start, self.used = state
+
+    def summarise(self, keys: list[str], ts: list[int], ops: list[str]) -> tuple:
+        """The times where the first window of the range may open, with the last window's begin and use for each; and what
+        the range asks for. Windows open by times alone, and the first opens an interval after the range's begin at last."""
+        asked = [0]
+        for op in ops:
+            asked.append(asked[-1] + self.cost(op))
+        opens, place = [], 0
+        while place < len(ts):
+            begin = place
+            while (after := bisect_left(ts, ts[begin] + self.interval)) < len(ts):
+                begin = after
+            opens.append((ts[place], ts[begin], min(self.most, asked[-1] - asked[begin])))
+            if ts[place] >= ts[0] + self.interval:
+                break
+            place = bisect_left(ts, ts[place] + 1)
+        return opens, asked[-1]
+
+    def leave(self, state: tuple, summary: tuple) -> tuple:
+        start, used = state
+        opens, asked = summary
+        for first, begin, since in opens:
+            if start is None or first - start >= self.interval:
+                return begin, since
+        return start, min(self.most, used + asked)
+
+
+def _each(batches: Iterator[pa.RecordBatch], column: str):
+    """(value, rows) of each run of equal values of the column: key, ts and op as lists."""
+    current, rows = None, ([], [], [])
+    for batch in batches:
+        at = batch.schema.get_field_index
+        for part, *row in zip(*(batch.column(at(c)).to_pylist() for c in (column, "key", "ts", "op"))):
+            if part != current:
+                if current is not None:
+                    yield current, rows
+                current, rows = part, ([], [], [])
+            for values, v in zip(rows, row):
+                values.append(v)
+    if current is not None:
+        yield current, rows
+
+
+def _run(rows: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataType], by: str, states: dict | None = None) -> DataFrame:
+    """rows, which are in order by the column by and then by the log, with the fold's columns. A fold begins anew with each
+    value of by, or from its entry state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, current = None, None
         for batch in batches:
             at = batch.schema.get_field_index
             out: list[tuple] = []
-            for s, key, ts, op in zip(*(batch.column(at(c)).to_pylist() for c in ("shard", "key", "ts", "op"))):
+            for s, key, ts, op in zip(*(batch.column(at(c)).to_pylist() for c in (by, "key", "ts", "op"))):
                 if state is None or s != current:
                     state, current = make(), s
+                    if states is not None:
+                        state.resume(states[s])
                 out.append(state.step(key, ts, op))
             cols = list(zip(*out)) if out else [[] for _ in columns]
             yield pa.record_batch([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, columns.values()))], [*batch.schema.names, *columns])
@@ -99,13 +201,47 @@ def fold(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataT
     return rows.mapInArrow(run, schema)
 
 
-def flush_segments(log: DataFrame, threshold: int, shards: int = 1) -> DataFrame:
-    return fold(log, lambda: FlushFold(threshold), FlushFold.columns, shards)
+def _ranges_of(log: DataFrame) -> int:
+    size = int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1))
+
+
+def _chained(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataType], ranges: int) -> DataFrame:
+    """The fold of a log in ranges; a row for each range comes to the driver."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _each(batches, "_part"):
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([pickle.dumps(make().summarise(*rows))])], ["_part", "summary"])
+
+    ordered = log.repartitionByRange(ranges, "ord").sortWithinPartitions("ord").withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    rows = written(ordered, "ranges").repartition(ranges, "_part").sortWithinPartitions("_part", "_place")
+    summaries = rows.select("_part", "key", "ts", "op").mapInArrow(summarise, "_part int, summary binary")
+    state, states = make().state(), {}
+    for r in sorted(summaries.toLocalIterator(), key=lambda r: r["_part"]):
+        states[r["_part"]] = state
+        state = make().leave(state, pickle.loads(r["summary"]))
+    return _run(rows, make, columns, "_part", states).drop("_part", "_place")
+
+
+def fold(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataType], shards: int = 1, ranges: int | None = None) -> DataFrame:
+    """log's rows with shard and the fold's columns. ranges: of one store's log, in number that grows with it unless given."""
+    if shards > 1:
+        rows = log.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+        return _run(rows.sortWithinPartitions("shard", "ord"), make, columns, "shard")
+    rows = log.withColumn("shard", F.lit(0))
+    ranges = (ranges or _ranges_of(log)) if hasattr(make(), "summarise") else 1
+    if ranges > 1:
+        return _chained(rows, make, columns, ranges)
+    return _run(rows.coalesce(1).sortWithinPartitions("ord"), make, columns, "shard")
+
+
+def flush_segments(log: DataFrame, threshold: int, shards: int = 1, ranges: int | None = None) -> DataFrame:
+    return fold(log, lambda: FlushFold(threshold), FlushFold.columns, shards, ranges)
 
 
 def lru(log: DataFrame, capacity: int, shards: int = 1) -> DataFrame:
     return fold(log, lambda: LruFold(capacity), LruFold.columns, shards)
 
 
-def rate_limit(log: DataFrame, most: int, interval: int, costs: dict[str, int] | None = None, shards: int = 1) -> DataFrame:
-    return fold(log, lambda: RateFold(most, interval, (lambda op: costs.get(op, 1)) if costs else None), RateFold.columns, shards)
+def rate_limit(log: DataFrame, most: int, interval: int, costs: dict[str, int] | None = None, shards: int = 1, ranges: int | None = None) -> DataFrame:
+    return fold(log, lambda: RateFold(most, interval, (lambda op: costs.get(op, 1)) if costs else None), RateFold.columns, shards, ranges)
