@@ -19,9 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
-
-RANGE_BYTES = 32 << 20  # of the log, by Catalyst's estimate, that one task folds
+from ..sources.scratch import ranges_of, written
 
 
 class FlushFold:
@@ -201,11 +199,6 @@ def _run(rows: DataFrame, make: Callable[[], object], columns: dict[str, pa.Data
     return rows.mapInArrow(run, schema)
 
 
-def _ranges_of(log: DataFrame) -> int:
-    size = int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1))
-
-
 def _chained(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataType], ranges: int) -> DataFrame:
     """The fold of a log in ranges; a row for each range comes to the driver."""
 
@@ -229,7 +222,7 @@ def fold(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataT
         rows = log.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
         return _run(rows.sortWithinPartitions("shard", "ord"), make, columns, "shard")
     rows = log.withColumn("shard", F.lit(0))
-    ranges = (ranges or _ranges_of(log)) if hasattr(make(), "summarise") else 1
+    ranges = (ranges or ranges_of(log)) if hasattr(make(), "summarise") else 1
     if ranges > 1:
         return _chained(rows, make, columns, ranges)
     return _run(rows.coalesce(1).sortWithinPartitions("ord"), make, columns, "shard")

@@ -7,16 +7,18 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import in_order
+
 ZERO = "0" * 40
 ARRAY_LEAVES = 4096
 
 
 def leaves(runs: DataFrame, pad_to: int) -> DataFrame:
-    """level, sstable, idx, hash: the value's SHA-1 in key order; zero leaves up to pad_to. One shuffle by run."""
-    pair = F.struct("key", F.sha1(F.col("value").cast("binary")).alias("hash"))
-    own = runs.groupBy("level", "sstable").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["hash"]).alias("a"))
-    padded = F.concat("a", F.array_repeat(F.lit(ZERO), F.greatest(F.lit(0), F.lit(pad_to) - F.size("a"))))
-    return own.select("level", "sstable", F.posexplode(padded).alias("idx", "hash")).withColumn("idx", F.col("idx").cast("long"))
+    """level, sstable, idx, hash: the value's SHA-1 in key order; zero leaves up to pad_to."""
+    own = in_order(runs, {}).select("level", "sstable", (F.col("place") - 1).alias("idx"), F.sha1(F.col("value").cast("binary")).alias("hash"))
+    short = runs.groupBy("level", "sstable").agg(F.count("*").alias("n")).filter(F.col("n") < pad_to)
+    missing = F.explode(F.sequence(F.col("n"), F.lit(pad_to - 1).cast("long")))
+    return own.unionByName(short.select("level", "sstable", missing.alias("idx"), F.lit(ZERO).alias("hash")))
 
 
 def _parents(a):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, record_size, value_crc
+from ..sources.scratch import ranges_of, written
 from .folds import flush_segments
 from .resolve import latest_per_key
 
@@ -33,22 +34,37 @@ def read_runs(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def in_order(runs: DataFrame, sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """runs with the place of each row in its run's key order (from 1), and exclusive sums of columns in that order.
+
+    A large table is range-sorted and written once; places and sums inside a range of a run are moved by those of the run's
+    ranges before it, so that no task holds a whole run.
+    """
+    ranges = ranges or ranges_of(runs)
+    run = ["level", "sstable"]
+    rows = runs.withColumns({f"_{c}": x for c, x in sums.items()} | {"_one": F.lit(1).cast("long")})
+    if ranges > 1:
+        rows = written(rows.repartitionByRange(ranges, *run, "key").withColumn("_part", F.spark_partition_id()), "ordered")
+        cells = rows.groupBy(*run, "_part").agg(*[F.sum(f"_{c}").alias(c) for c in (*sums, "one")])
+        before = Window.partitionBy(*run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        base = cells.select(*run, "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_base_{c}") for c in (*sums, "one")])
+        rows, run = rows.join(base, [*run, "_part"]), [*run, "_part"]
+    else:
+        rows = rows.withColumns({f"_base_{c}": F.lit(0).cast("long") for c in (*sums, "one")})
+    w = Window.partitionBy(*run).orderBy("key")
+    so_far = {c: F.col(f"_base_{c}") + F.coalesce(F.sum(f"_{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums}
+    return rows.select(*runs.columns, (F.col("_base_one") + F.row_number().over(w)).alias("place"), *[x.alias(c) for c, x in so_far.items()])
+
+
 def sorted_scan(runs: DataFrame) -> DataFrame:
     """Rows with their place in the run's key order."""
-    return runs.withColumn("place", F.row_number().over(Window.partitionBy("level", "sstable").orderBy("key")).cast("long"))
+    return in_order(runs, {})
 
 
 def index(runs: DataFrame) -> DataFrame:
     """data_offset and index_offset of each key: exclusive sums of record sizes, and of 16 + key bytes, in key order."""
-    w = Window.partitionBy("level", "sstable").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     entry = (F.lit(16) + F.octet_length("key")).cast("long")
-    return runs.select(
-        "level",
-        "sstable",
-        "key",
-        F.coalesce(F.sum(record_size(F.col("key"), F.col("value"))).over(w), F.lit(0)).alias("data_offset"),
-        F.coalesce(F.sum(entry).over(w), F.lit(0)).alias("index_offset"),
-    )
+    return in_order(runs, {"data_offset": record_size(F.col("key"), F.col("value")), "index_offset": entry}).select("level", "sstable", "key", "data_offset", "index_offset")
 
 
 def summary(runs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+RANGE_BYTES = 32 << 20  # of rows in order, by Catalyst's estimate, that one task takes
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -65,3 +66,9 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, f"{scratch_folder(df.sparkSession)}/{name}")
+
+
+def ranges_of(df: DataFrame) -> int:
+    """Ranges that df's rows are cut into where they are worked on in order: more with its size, up to the shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1))

@@ -252,6 +252,14 @@ def test_runs_on_disk(spark, tmp_path):
     assert "PartitionFilters" in plan and "EqualTo(key,k1)" in plan
 
 
+def test_order_by_ranges(spark):
+    """Places and offsets of runs that are cut into ranges, against whole runs."""
+    rows = [(1, r, f"k{k:04d}", "v" * (k % 17), k) for r, n in ((0, 1), (1, 700), (2, 40)) for k in range(n)]
+    df = spark.createDataFrame(rows, "level int, sstable long, key string, value string, size long").repartition(5)
+    got = [sorted(map(tuple, runs.in_order(df, {"before": F.col("size")}, n).select("sstable", "key", "place", "before").collect())) for n in (1, 6)]
+    assert got[0] == got[1] == [(r, f"k{k:04d}", k + 1, k * (k - 1) // 2) for r, n in ((0, 1), (1, 700), (2, 40)) for k in range(n)]
+
+
 def test_bloom_has_no_false_negatives(spark):
     level1 = runs.flush(log_of(spark, random_ops(10)), 4).cache()
     probes = level1.select("key").distinct()
