@@ -89,6 +89,8 @@ SQL: dict[str, str] = {
         WHERE (seq - 1) // 3 > (SELECT (max(seq) - 1) // 3 FROM log) - 2 GROUP BY 1""",
     "wal_replay": f"""WITH {LOG} SELECT key, value, ts, tombstone FROM log WHERE (seq - 1) // 3 IN (SELECT (seq - 1) // 3 AS s FROM log GROUP BY 1 HAVING count(*) = 3 AND max(seq) < (SELECT max(seq) FROM log))
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
+    "wal_recover": f"""WITH {LOG} SELECT key, value, ts, tombstone FROM log WHERE (seq - 1) // 3 IN (SELECT (seq - 1) // 3 AS s FROM log GROUP BY 1 HAVING count(*) = 3 AND max(seq) < (SELECT max(seq) FROM log))
+        QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
     "memtable_flush_segments": f"WITH RECURSIVE {SEGMENTS} SELECT segment, count(*) AS n_ops, count(DISTINCT l.key) AS n_keys, min(event_id) AS least_event, max(event_id) AS largest_event FROM steps JOIN log l USING (seq) GROUP BY segment",
     "memtable_flush_sharded": "SELECT count(*) AS n_ops, 0::BIGINT AS too_large FROM events",
     "sstable_sorted_scan": f"WITH RECURSIVE {RUNS} SELECT level, sstable, row_number() OVER (PARTITION BY sstable ORDER BY key) AS place, key, value, tombstone FROM runs",
@@ -109,6 +111,9 @@ SQL: dict[str, str] = {
     "merkle_root": f"WITH RECURSIVE {LEAVES} SELECT sstable, root FROM tree",
     "merkle_preorder": f"""WITH RECURSIVE {LEAVES}, z AS (SELECT *, repeat('0', 40) AS o FROM tree)
         SELECT sstable, unnest(range(1, 16)) AS place, unnest([root, ab, a, o, o, b, o, o, cd, c, o, o, d, o, o]) AS hash FROM z""",
+    "merkle_listing": f"""WITH RECURSIVE {LEAVES}, z AS (SELECT *, repeat('0', 40) AS o FROM tree)
+        SELECT sstable, unnest(range(1, 16)) AS place, unnest([root, ab, a, o, o, b, o, o, cd, c, o, o, d, o, o]) AS hash FROM z""",
+    "sstable_read_at_offset": f"WITH RECURSIVE {RUNS}, {PROBES} SELECT key, sstable, value, ts, tombstone, true AS ok FROM runs JOIN probes USING (key)",
     "crc_verify": f"""WITH {LOG}, {CRC}, b AS (SELECT tombstone, lower(hex(encode(value))) AS v FROM log),
         c AS (SELECT tombstone, v, {crc32("v")} AS stored, {crc32("(substr(v, 1, length(v) - 2) || '00')")} AS damaged FROM b, poly)
         SELECT count(*) AS n, count(*) FILTER (tombstone AND stored <> damaged) AS bad, sum(stored)::BIGINT AS stored_sum FROM c""",

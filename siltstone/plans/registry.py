@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT as C
 from ..functions.hashing import HEADER_BYTES, from_little_endian, log_crc, record_size
 from ..operators import compaction, folds, merkle, resolve, runs, sketches, wal
+from ..sources import store_files
 from ..sources.oplog import events_log, orders_log, with_seq
 from ..sources.record_files import data_record
-from ..sources.scratch import written
+from ..sources.scratch import scratch_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOOM_M, BLOOM_K = runs.bloom_size(C.memtable_threshold, C.false_positive_rate)
 CMS_DEPTH, CMS_WIDTH = sketches.cms_size(C.cms_epsilon, C.cms_delta)
 HLL_P = 6
+SEGMENTS_PER_FILE = 1024  # of log files
 RECORD = ("key", "value", "ts", "tombstone")
 
 
@@ -103,6 +105,14 @@ def wal_replay(spark, sf_dir):
     return wal.replay(with_seq(events_log(spark, sf_dir)), C.wal_segment).select(*RECORD)
 
 
+@query
+def wal_recover(spark, sf_dir):
+    """Durable segments written as log files; the latest operation of each key that is read back from them."""
+    folder = scratch_folder(spark)
+    store_files.write_log(with_seq(events_log(spark, sf_dir)), folder, C.wal_segment, SEGMENTS_PER_FILE)
+    return resolve.latest_per_key(store_files.recovered_log(spark, folder)).select(*RECORD)
+
+
 @query
 def wal_crc(spark, sf_dir):
     log = events_log(spark, sf_dir)
@@ -172,6 +182,24 @@ def write_path(spark, sf_dir):
     return out.unionByName(asked.filter("not admitted").select(F.col("ord.tie").alias("event_id"), F.lit("throttled").alias("outcome"), F.lit(None).cast("long").alias("segment")))
 
 
+@query
+def sstable_read_at_offset(spark, sf_dir):
+    """Runs written as data and index files; the records that index entries of all probes point at, read at their places."""
+    folder = scratch_folder(spark)
+    summary = store_files.write_index(store_files.write_data(_runs(spark, sf_dir), f"{folder}/data"), f"{folder}/index")
+    entries = store_files.read_index(summary, f"{folder}/index").join(_probes(spark, sf_dir), "key")
+    got = store_files.read_at(entries, f"{folder}/data")
+    return got.select("key", "sstable", F.col("value").cast("string").alias("value"), "ts", "tombstone", "ok")
+
+
+@query
+def merkle_listing(spark, sf_dir):
+    """Nodes written as lines of files, and read back from there."""
+    folder = scratch_folder(spark)
+    listing = store_files.write_listing(merkle_preorder(spark, sf_dir).withColumn("level", F.lit(1)), folder)
+    return store_files.read_listing(listing, folder).select("sstable", "place", "hash")
+
+
 @query
 def sstable_manifest(spark, sf_dir):
     return runs.manifest(_runs(spark, sf_dir))

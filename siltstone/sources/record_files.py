@@ -28,28 +28,41 @@ def log_record(ts: Column, tombstone: Column, key: Column, value: Column) -> Col
     return F.concat(little_endian(log_crc(ts, tombstone, key, value), 4), record_tail(ts, tombstone, key, value))
 
 
-def decode(content: bytes, log: bool = False):
-    """(offset, crc, ts, tombstone, key, value, ok) of each record; ValueError where the file ends inside one."""
+def header(head: bytes) -> tuple:
+    """crc, ts, tombstone, key size, value size."""
+    return _HEADER.unpack(head)
+
+
+def decode(content: bytes, log: bool = False, torn: bool = False):
+    """(offset, crc, ts, tombstone, key, value, ok) of each record; ValueError where the file ends inside one.
+
+    torn: records end before the first that is cut off or whose checksum doesn't fit, as after a crash.
+    """
     at = 0
     while at < len(content):
-        if at + HEADER_BYTES > len(content):
-            raise ValueError(f"a record is cut off at byte {at}")
-        crc, ts, tombstone, n_key, n_value = _HEADER.unpack_from(content, at)
-        end = at + HEADER_BYTES + n_key + n_value
+        end = at + HEADER_BYTES
+        if end <= len(content):
+            crc, ts, tombstone, n_key, n_value = _HEADER.unpack_from(content, at)
+            end += n_key + n_value
         if end > len(content):
+            if torn:
+                return
             raise ValueError(f"a record is cut off at byte {at}")
         key, value = content[at + HEADER_BYTES : end - n_value], content[end - n_value : end]
-        yield at, crc, ts, bool(tombstone), key.decode(), value, zlib.crc32(content[at + 4 : end] if log else value) == crc
+        ok = zlib.crc32(content[at + 4 : end] if log else value) == crc
+        if torn and not ok:
+            return
+        yield at, crc, ts, bool(tombstone), key.decode(), value, ok
         at = end
 
 
-def read_record_files(spark: SparkSession, path: str, log: bool = False, strict: bool = False) -> DataFrame:
-    """Records of all files below the path. ok: the checksum fits; strict: fail where one doesn't."""
+def read_record_files(spark: SparkSession, path: str, log: bool = False, strict: bool = False, torn: bool = False) -> DataFrame:
+    """Records of all files below the path. ok: the checksum fits; strict: fail where one doesn't; torn: see decode."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(name, *r) for r in decode(content, log)]
+                rows = [(name, *r) for r in decode(content, log, torn)]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, RECORDS.types)], schema=RECORDS)
 
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, RECORDS_SQL)
