@@ -1,14 +1,16 @@
-"""The operation log as a stream: latest-wins tables, windowed counts, and the rate limiter as a stateful operator."""
+"""The operation log as a stream: latest-wins tables, counts by window and session, and flushes, the cache and the rate
+limiter as stateful operators."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import FlushFold, LruFold, RateFold
 from ..sources.oplog import oplog
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -35,24 +37,71 @@ def windowed_counts(events: DataFrame, window: str = "10 minutes", late: str = "
     return e.groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("n"))
 
 
-def rate_limited(log: DataFrame, most: int, interval: int) -> DataFrame:
-    """key, ts, admitted: one fixed-window limiter for each key. Rows of a batch are taken in log order."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "tie"], kind="stable")
-        admitted = []
-        for ts in rows["ts"]:
-            if start is None or ts - start >= interval:
-                start, used = int(ts), 0
-            ok = used < most
-            used += ok
-            admitted.append(ok)
-        state.update((start, used))
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "tie": rows["tie"], "admitted": admitted})
-
-    rows = log.select("key", "ts", F.col("ord.tie").alias("tie"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts long, tie long, admitted boolean", "start long, used long", "append", GroupStateTimeout.NoTimeout)
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "5 minutes") -> DataFrame:
+    """Operations in each session of a user: operations that are no more than the gap apart. A session comes out once the
+    watermark has passed its end, and its state goes."""
+    e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    s = e.groupBy(F.session_window("at", gap).alias("session"), F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    return s.select("key", F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
+
+
+def _folded(log: DataFrame, make: Callable[[], object], by: Column, out: str, state: str, save: Callable, load: Callable, late: str | None = None, until: Callable | None = None) -> DataFrame:
+    """A fold of folds.py for each value of by, over a stream: its state is kept between batches, and the operations of a
+    batch are taken in log order. An operation that comes in a later batch than its order says is taken when it comes, as a
+    store does that logs what it receives.
+
+    late and until (a time in seconds, of the fold): state goes once the watermark has passed that time, and operations from
+    before the watermark are dropped.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        fold = make()
+        if held.exists:
+            load(fold, held.get)
+        rows = pd.concat(list(frames)).sort_values(["us", "tie"], kind="stable")
+        found = [fold.step(k, t, o) for k, t, o in zip(rows["key"], rows["ts"].tolist(), rows["op"])]
+        held.update(save(fold))
+        if until is not None and late is not None:
+            held.setTimeoutTimestamp(max(until(fold) * 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.concat([rows[["by", "key", "ts", "tie"]].reset_index(drop=True), pd.DataFrame(found, columns=list(fold.columns))], axis=1)
+
+    rows = log.select(by.alias("by"), "key", "ts", F.col("ord.us").alias("us"), F.col("ord.tie").alias("tie"), "op")
+    if late is not None:
+        rows = rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", late)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("by").applyInPandasWithState(step, f"by {dict(rows.dtypes)['by']}, key string, ts long, tie long, {out}", state, "append", timeout)
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+
+
+def flushed(log: DataFrame, threshold: int, shards: int = 8) -> DataFrame:
+    """shard, key, ts, tie, segment: the memtable segment of each operation of independent stores, split by a hash of the key.
+    State: a segment's number and its keys, no more than threshold."""
+    d = _folded(log, lambda: FlushFold(threshold), _shard(shards), "segment long", "segment long, keys array<string>", lambda f: (f.segment, sorted(f.keys)), lambda f, s: f.resume((s[0], s[1])))
+    return d.withColumnRenamed("by", "shard")
+
+
+def cached(log: DataFrame, capacity: int, shards: int = 8) -> DataFrame:
+    """shard, key, ts, tie, hit, state: an LRU cache in front of each store. State: no more than capacity keys."""
+    d = _folded(log, lambda: LruFold(capacity), _shard(shards), "hit boolean, state string", "keys array<string>", lambda f: (list(f.keys),), lambda f, s: f.keys.update(dict.fromkeys(s[0])))
+    return d.withColumnRenamed("by", "shard")
+
+
+def rate_limited(log: DataFrame, most: int, interval: int, late: str | None = None) -> DataFrame:
+    """key, ts, tie, admitted: one fixed-window limiter for each key.
+
+    late: how late operations may come. A key's state goes once no operation can meet its window any more, so it is bounded
+    by the keys of the last interval; without it every key's state stays.
+    """
+    d = _folded(
+        log, lambda: RateFold(most, interval), F.col("key"), "admitted boolean, window_start long", "start long, used long", RateFold.state, RateFold.resume, late, lambda f: f.start + interval
+    )
+    return d.select("key", "ts", "tie", "admitted")
 
 
 def write_snapshot(log: DataFrame, path: str, checkpoint: str):
