@@ -1,11 +1,10 @@
 """Order-dependent folds: memtable flush boundaries, an LRU cache, and a fixed-window rate limiter.
 
-Their state depends on all earlier operations of a store, so a store is folded in order. Flushes and limits don't need one
-task for that: the log is cut into ranges, and what a range makes of any state it may be entered with fits a small
-summary, as there are few places where its first boundary can lie. Summaries of all ranges are chained in order, a few
-numbers for each, and then every range is folded from its own entry state, side by side. An LRU cache with deletes has no
-such summary: one store's is one task. shards splits the log into independent stores by a hash of the key; each is sorted
-and streamed through a fold whose state is a few keys.
+Their state depends on all earlier operations of a store, so a store is folded in order. That doesn't need one task: the
+log is cut into ranges, and what a range makes of any state it may be entered with fits a small summary. Summaries of all
+ranges are chained in order, and then every range is folded from its own entry state, side by side. The driver holds a
+state for each range: a number, or as many keys as the memtable or the cache takes. shards splits the log into independent
+stores by a portable hash of the key; each is sorted and streamed through a fold.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
 from ..sources.scratch import ranges_of, written
 
 
@@ -106,6 +106,37 @@ class LruFold:
                 self.keys.popitem(last=False)
         return hit, ",".join(self.keys)
 
+    def state(self) -> tuple:
+        return tuple(self.keys)
+
+    def resume(self, state: tuple) -> None:
+        self.keys = OrderedDict.fromkeys(state)
+
+    def summarise(self, keys: list[str], ts: list[int], ops: list[str]) -> tuple:
+        """What the range itself leaves in the cache, and what it does to keys that were there before.
+
+        Keys from before are older than the range's, so they are the first to go: the range's own part of the cache is the
+        same whatever was there, and of the rest as many of the latest stay as it leaves room for, less those that it
+        touches. touched[n]: keys touched after the own part has grown to n keys for the first time, and before it has n + 1.
+        Once it has capacity keys nothing of the rest is left, so no more is kept.
+        """
+        own, touched = LruFold(self.capacity), [set()]
+        for key, t, op in zip(keys, ts, ops):
+            if len(touched) <= self.capacity:
+                touched[-1].add(key)
+            own.step(key, t, op)
+            if len(own.keys) == len(touched):
+                touched.append(set())
+        return own.state(), touched
+
+    def leave(self, state: tuple, summary: tuple) -> tuple:
+        own, touched = summary
+        older = list(state)
+        for n, keys in enumerate(touched):
+            room = self.capacity - n
+            older = [k for k in older[max(0, len(older) - room) :] if k not in keys]
+        return (*older, *own)
+
 
 class RateFold:
     """admitted and the begin of the window: a window opens with the first request after the last one has expired."""
@@ -216,13 +247,18 @@ def _chained(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.D
     return _run(rows, make, columns, "_part", states).drop("_part", "_place")
 
 
+def shard_of(shards: int) -> Column:
+    """The store that a key belongs to."""
+    return F.pmod(hash32(0, F.col("key")), F.lit(shards)).cast("int")
+
+
 def fold(log: DataFrame, make: Callable[[], object], columns: dict[str, pa.DataType], shards: int = 1, ranges: int | None = None) -> DataFrame:
     """log's rows with shard and the fold's columns. ranges: of one store's log, in number that grows with it unless given."""
     if shards > 1:
-        rows = log.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+        rows = log.withColumn("shard", shard_of(shards)).repartition(shards, "shard")
         return _run(rows.sortWithinPartitions("shard", "ord"), make, columns, "shard")
     rows = log.withColumn("shard", F.lit(0))
-    ranges = (ranges or ranges_of(log)) if hasattr(make(), "summarise") else 1
+    ranges = ranges or ranges_of(log)
     if ranges > 1:
         return _chained(rows, make, columns, ranges)
     return _run(rows.coalesce(1).sortWithinPartitions("ord"), make, columns, "shard")
@@ -232,8 +268,8 @@ def flush_segments(log: DataFrame, threshold: int, shards: int = 1, ranges: int
     return fold(log, lambda: FlushFold(threshold), FlushFold.columns, shards, ranges)
 
 
-def lru(log: DataFrame, capacity: int, shards: int = 1) -> DataFrame:
-    return fold(log, lambda: LruFold(capacity), LruFold.columns, shards)
+def lru(log: DataFrame, capacity: int, shards: int = 1, ranges: int | None = None) -> DataFrame:
+    return fold(log, lambda: LruFold(capacity), LruFold.columns, shards, ranges)
 
 
 def rate_limit(log: DataFrame, most: int, interval: int, costs: dict[str, int] | None = None, shards: int = 1, ranges: int | None = None) -> DataFrame:

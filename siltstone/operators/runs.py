@@ -25,12 +25,14 @@ def with_sizes(runs: DataFrame) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, path: str, mode: str = "append") -> None:
-    """Runs as Parquet: a folder for each level and run, rows in key order, so that row groups have narrow key ranges."""
-    runs.repartition("level", "sstable").sortWithinPartitions("level", "sstable", "key").write.mode(mode).partitionBy("level", "sstable").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+    """Runs as Parquet: a folder for each level, and files of about equal size in the order of run and key: small runs share
+    a file, a large one takes several, and row groups have narrow ranges of both."""
+    order = ("level", "sstable", "key")
+    runs.repartitionByRange(ranges_of(runs), *order).sortWithinPartitions(*order).write.mode(mode).partitionBy("level").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
 
 
 def read_runs(spark, path: str) -> DataFrame:
-    """Level and run are partition columns: filters on them prune folders, filters on key reach the row groups."""
+    """Filters on the level prune folders, those on run and key reach the row groups."""
     return spark.read.parquet(path)
 
 

@@ -92,7 +92,14 @@ SQL: dict[str, str] = {
     "wal_recover": f"""WITH {LOG} SELECT key, value, ts, tombstone FROM log WHERE (seq - 1) // 3 IN (SELECT (seq - 1) // 3 AS s FROM log GROUP BY 1 HAVING count(*) = 3 AND max(seq) < (SELECT max(seq) FROM log))
         QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""",
     "memtable_flush_segments": f"WITH RECURSIVE {SEGMENTS} SELECT segment, count(*) AS n_ops, count(DISTINCT l.key) AS n_keys, min(event_id) AS least_event, max(event_id) AS largest_event FROM steps JOIN log l USING (seq) GROUP BY segment",
-    "memtable_flush_sharded": "SELECT count(*) AS n_ops, 0::BIGINT AS too_large FROM events",
+    "memtable_flush_sharded": f"""WITH RECURSIVE {LOG}, own AS (SELECT *, ({h32("'0'", "key")} % 8)::INT AS shard, row_number() OVER (PARTITION BY {h32("'0'", "key")} % 8 ORDER BY seq) AS n FROM log),
+        steps AS (
+            SELECT shard, n, 0::BIGINT AS segment, [key] AS keys FROM own WHERE n = 1
+            UNION ALL
+            SELECT l.shard, l.n, CASE WHEN list_contains(s.keys, l.key) OR len(s.keys) < 4 THEN s.segment ELSE s.segment + 1 END,
+                CASE WHEN list_contains(s.keys, l.key) THEN s.keys WHEN len(s.keys) < 4 THEN list_append(s.keys, l.key) ELSE [l.key] END
+            FROM steps s JOIN own l ON l.shard = s.shard AND l.n = s.n + 1)
+        SELECT shard, segment, count(*) AS n_ops, count(DISTINCT key) AS n_keys, min(event_id) AS least_event, max(event_id) AS largest_event FROM steps JOIN own USING (shard, n) GROUP BY ALL""",
     "sstable_sorted_scan": f"WITH RECURSIVE {RUNS} SELECT level, sstable, row_number() OVER (PARTITION BY sstable ORDER BY key) AS place, key, value, tombstone FROM runs",
     "sstable_index_offsets": f"""WITH RECURSIVE {RUNS} SELECT level, sstable, key, coalesce(sum({SIZE}) OVER w, 0)::BIGINT AS data_offset, coalesce(sum(16 + octet_length(encode(key))) OVER w, 0)::BIGINT AS index_offset
         FROM runs WINDOW w AS (PARTITION BY sstable ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",

@@ -33,9 +33,9 @@ def write_files(rows: DataFrame, folder: str, order: list[str], piece: Column, f
     """Write the piece (bytes) of each row in order; the rows with file, offset and length of their piece, as a table.
 
     file: names of files, each written by one task, which holds no more than a batch of it; left out, files are ranges of
-    the order, in number that grows with the rows. Rows without a piece, and empty tables, write nothing.
+    the order, in number that grows with the rows. An empty table writes nothing.
     """
-    rows = rows.withColumn("_piece", piece).filter(F.col("_piece").isNotNull())
+    rows = rows.withColumn("_piece", piece)
     if file is None:
         rows = rows.repartitionByRange(ranges_of(rows), *order).sortWithinPartitions(*order)
         rows = rows.withColumn("file", F.format_string(f"{name}-%05d.db", F.spark_partition_id()))
@@ -134,9 +134,14 @@ def _lines(handle, row: dict):
         yield line_no, line
 
 
+def _whole(record: Column) -> Column:
+    return F.coalesce(record, F.raise_error(F.lit("a record has no key, time or tombstone")).cast("binary"))
+
+
 def write_data(runs: DataFrame, folder: str) -> DataFrame:
-    """Data files of runs in key order: level, sstable, key with file and offset of the record."""
-    rec = data_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value"))
+    """Data files of runs in key order: level, sstable, key with file and offset of the record. A null value is stored as
+    an empty one; null keys, times or tombstones are errors."""
+    rec = _whole(data_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.coalesce("value", F.lit(""))))
     return write_files(runs.select("level", "sstable", "key", "value", "ts", "tombstone"), folder, ["level", "sstable", "key"], rec, name="data").drop("value", "ts", "tombstone")
 
 
@@ -178,11 +183,11 @@ def _log_name(number: Column) -> Column:
 
 def write_log(log: DataFrame, folder: str, size: int, per_file: int = 1) -> DataFrame:
     """Segments of size operations as log files, per_file segments in each; log needs seq. Operations of the open segment,
-    which no later one has closed, aren't written. file, offset, length for each operation written."""
+    which no later one has closed, aren't written. file, offset, length for each operation written. Nulls: as write_data."""
     last = log.agg(F.max("seq").alias("_last"))
     segment = F.expr(f"(seq - 1) div {size}")
     durable = log.crossJoin(F.broadcast(last)).filter((segment + 1) * size < F.col("_last")).drop("_last")  # one row
-    rec = log_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value"))
+    rec = _whole(log_record(F.col("ts"), F.col("tombstone"), F.col("key"), F.coalesce("value", F.lit(""))))
     rows = durable.select("seq", "key", "value", "ts", "tombstone")
     return write_files(rows, folder, ["seq"], rec, _log_name(F.expr(f"(seq - 1) div {size * per_file}")), name="wal").select("seq", "file", "offset", "length")
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folds import FlushFold, LruFold, RateFold
+from ..operators.folds import FlushFold, LruFold, RateFold, shard_of
 from ..sources.oplog import oplog
+from ..sources.scratch import _store, discard
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+_SNAPSHOT = "key string, value string, ts long, tombstone boolean"
 
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -75,20 +77,16 @@ def _folded(log: DataFrame, make: Callable[[], object], by: Column, out: str, st
     return rows.groupBy("by").applyInPandasWithState(step, f"by {dict(rows.dtypes)['by']}, key string, ts long, tie long, {out}", state, "append", timeout)
 
 
-def _shard(shards: int) -> Column:
-    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-
-
 def flushed(log: DataFrame, threshold: int, shards: int = 8) -> DataFrame:
     """shard, key, ts, tie, segment: the memtable segment of each operation of independent stores, split by a hash of the key.
     State: a segment's number and its keys, no more than threshold."""
-    d = _folded(log, lambda: FlushFold(threshold), _shard(shards), "segment long", "segment long, keys array<string>", lambda f: (f.segment, sorted(f.keys)), lambda f, s: f.resume((s[0], s[1])))
+    d = _folded(log, lambda: FlushFold(threshold), shard_of(shards), "segment long", "segment long, keys array<string>", lambda f: (f.segment, sorted(f.keys)), lambda f, s: f.resume((s[0], s[1])))
     return d.withColumnRenamed("by", "shard")
 
 
 def cached(log: DataFrame, capacity: int, shards: int = 8) -> DataFrame:
     """shard, key, ts, tie, hit, state: an LRU cache in front of each store. State: no more than capacity keys."""
-    d = _folded(log, lambda: LruFold(capacity), _shard(shards), "hit boolean, state string", "keys array<string>", lambda f: (list(f.keys),), lambda f, s: f.keys.update(dict.fromkeys(s[0])))
+    d = _folded(log, lambda: LruFold(capacity), shard_of(shards), "hit boolean, state string", "keys array<string>", lambda f: (list(f.keys),), lambda f, s: f.keys.update(dict.fromkeys(s[0])))
     return d.withColumnRenamed("by", "shard")
 
 
@@ -104,10 +102,44 @@ def rate_limited(log: DataFrame, most: int, interval: int, late: str | None = No
     return d.select("key", "ts", "tie", "admitted")
 
 
-def write_snapshot(log: DataFrame, path: str, checkpoint: str):
-    """A folder version=N with the whole snapshot after batch N; a batch that is run again replaces its own."""
+def write_changes(log: DataFrame, path: str, checkpoint: str):
+    """A folder changes/version=N with the state of the keys that batch N touched; a batch that is run again replaces its own."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-
-    return latest_stream(log).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{path}/changes/version={epoch}")
+
+    return latest_stream(log).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def _numbers(spark: SparkSession, folder: str, whole: bool = False) -> list[int]:
+    """N of each subfolder name=N, ascending; whole: those only that a finished job has left."""
+    store, path = _store(spark, folder)
+    if not store.exists(path):
+        return []
+    below = [s.getPath() for s in store.listStatus(path) if "=" in s.getPath().getName()]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().split("=")[1]) for p in below if not whole or store.exists(done(p, "_SUCCESS")))
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """key, value, ts, tombstone after a batch (the last one): the newest base up to there and the changes since."""
+    versions = [v for v in _numbers(spark, f"{path}/changes") if version is None or v <= version]
+    bases = [b for b in _numbers(spark, f"{path}/base", whole=True) if version is None or b <= version][-1:]
+    folders = [(f"{path}/base/upto={b}", b) for b in bases] + [(f"{path}/changes/version={v}", v) for v in versions if not bases or v > bases[0]]
+    if not folders:
+        raise ValueError(f"no snapshot at {path} up to version {version}")
+    rows = spark.read.schema(_SNAPSHOT).parquet(*[f for f, _ in folders]).withColumn("_n", F.regexp_extract(F.col("_metadata.file_path"), r"(?:upto|version)=(\d+)/[^/]*$", 1).cast("long"))
+    return rows.groupBy("key").agg(F.max_by(F.struct("value", "ts", "tombstone"), "_n").alias("r")).select("key", "r.*")
+
+
+def merge_changes(spark: SparkSession, path: str) -> int:
+    """A new base from all changes so far, then changes and bases that it replaces go. Its number. A run that is cut off
+    leaves an unfinished base, which isn't read. Readers of older versions must be through."""
+    last = max(_numbers(spark, f"{path}/changes") + _numbers(spark, f"{path}/base", whole=True))
+    if last not in _numbers(spark, f"{path}/base", whole=True):
+        read_snapshot(spark, path, last).write.mode("overwrite").parquet(f"{path}/base/upto={last}")
+    for kind, name, most in (("changes", "version", last), ("base", "upto", last - 1)):
+        for n in _numbers(spark, f"{path}/{kind}"):
+            if n <= most:
+                discard(spark, f"{path}/{kind}/{name}={n}")
+    return last

@@ -124,7 +124,7 @@ def test_no_window_admits_more_than_allowed(gaps, most, interval):
     assert max(seen.values()) <= most
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abcdefghi"), st.integers(0, 6), st.sampled_from(["put", "delete"])), max_size=60), st.integers(1, 6), st.lists(st.integers(0, 60), max_size=5))
 def test_ranges_chain_to_the_whole_fold(ops, size, cuts):
     """From summaries alone, each range is entered with the state that folding all before it leaves."""
@@ -133,7 +133,7 @@ def test_ranges_chain_to_the_whole_fold(ops, size, cuts):
         now += gap
         times.append(now)
     bounds = [0, *sorted(min(c, len(ops)) for c in cuts), len(ops)]
-    for make in (lambda: folds.FlushFold(size), lambda: folds.RateFold(size, 7), lambda: folds.RateFold(size, 4, lambda op: 2 if op == "delete" else 1)):
+    for make in (lambda: folds.FlushFold(size), lambda: folds.LruFold(size), lambda: folds.RateFold(size, 7), lambda: folds.RateFold(size, 4, lambda op: 2 if op == "delete" else 1)):
         whole, state = make(), make().state()
         for lo, hi in zip(bounds, bounds[1:]):
             assert state == whole.state()
@@ -146,7 +146,7 @@ def test_ranges_chain_to_the_whole_fold(ops, size, cuts):
 
 def test_ranges_of_a_log(spark, sf):
     log = oplog.events_log(spark, sf)
-    for name, f in (("segment", lambda n: folds.flush_segments(log, 4, ranges=n)), ("window_start", lambda n: folds.rate_limit(log, 2, 3600, {"delete": 2}, ranges=n))):
+    for name, f in (("segment", lambda n: folds.flush_segments(log, 4, ranges=n)), ("state", lambda n: folds.lru(log, 3, ranges=n)), ("window_start", lambda n: folds.rate_limit(log, 2, 3600, {"delete": 2}, ranges=n))):
         one, many = (sorted((r["ord"]["us"], r["ord"]["tie"], r[name]) for r in f(n).collect()) for n in (1, 7))
         assert one == many and len(one) > 500
 

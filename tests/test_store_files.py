@@ -92,3 +92,11 @@ def test_nothing_to_write(spark, log, folder):
     data = store_files.write_data(runs.flush(oplog.events_log(spark, "/root/testdata/sf0.001").limit(0), 4), folder)
     assert data.count() == 0 and not [f for f in os.listdir(folder.removeprefix("file://")) if f.endswith(".db")]
     assert store_files.read_at(data, folder).count() == 0
+
+
+def test_null_values_and_keys(spark, folder):
+    log = spark.createDataFrame([(1, "a", None, 5, False), (2, "", "x", 6, False), (3, "b", None, 7, True), (4, "c", "", 8, False)], "seq long, key string, value string, ts long, tombstone boolean")
+    store_files.write_log(log, folder + "/log", 3)
+    assert rows(store_files.recovered_log(spark, folder + "/log"), "key", "value", "ts", "tombstone") == sorted(map(repr, log.filter("seq < 4").fillna("").select("key", "value", "ts", "tombstone").collect()))
+    with pytest.raises(Exception, match="no key"):
+        store_files.write_log(log.withColumn("key", F.lit(None).cast("string")), folder + "/bad", 3)

@@ -22,12 +22,18 @@ def finish(writer):
 
 
 def test_stream_equals_batch(spark, sf, events, tmp_path):
+    """After each batch the snapshot is that of the operations so far, and merging changes leaves it as it is."""
     log = snapshot.stream_log(snapshot.events_stream(spark, events))
-    finish(snapshot.write_snapshot(log, str(tmp_path / "out"), str(tmp_path / "state")))
-    versions = spark.read.parquet(str(tmp_path / "out"))
-    last = versions.agg(F.max("version")).first()[0]
-    got = {tuple(r) for r in versions.filter(f"version = {last} and not tombstone").select("key", "value", "ts").collect()}
-    assert last == 3 and got == {tuple(r) for r in resolve.snapshot(events_log(spark, sf)).select("key", "value", "ts").collect()}
+    out = str(tmp_path / "out")
+    finish(snapshot.write_changes(log, out, str(tmp_path / "state")))
+    want = {tuple(r) for r in resolve.snapshot(events_log(spark, sf)).select("key", "value", "ts").collect()}
+    live = lambda version=None: {tuple(r) for r in snapshot.read_snapshot(spark, out, version).filter("not tombstone").select("key", "value", "ts").collect()}
+    assert live() == want and live(3) == want and snapshot._numbers(spark, f"{out}/changes") == [0, 1, 2, 3]
+    (tmp_path / "out/base/upto=3").mkdir(parents=True)  # of a run that was cut off
+    assert live() == want
+    assert snapshot.merge_changes(spark, out) == 3
+    assert live() == want and snapshot._numbers(spark, f"{out}/changes") == [] and snapshot._numbers(spark, f"{out}/base", whole=True) == [3]
+    assert snapshot.merge_changes(spark, out) == 3 and live() == want
 
 
 def test_windows(spark, sf, events, tmp_path):
@@ -76,13 +82,13 @@ def by_fold(spark, sf, make, group, column):
 def test_flushes_keep_state_between_batches(spark, sf, in_order, tmp_path):
     log = snapshot.stream_log(snapshot.events_stream(spark, in_order))
     got = {r["tie"]: r["segment"] for r in collected(spark, snapshot.flushed(log, 4, 2), "flushed", tmp_path).collect()}
-    assert got == by_fold(spark, sf, lambda: folds.FlushFold(4), snapshot._shard(2), "segment")
+    assert got == by_fold(spark, sf, lambda: folds.FlushFold(4), folds.shard_of(2), "segment")
 
 
 def test_cache_keeps_state_between_batches(spark, sf, in_order, tmp_path):
     log = snapshot.stream_log(snapshot.events_stream(spark, in_order))
     got = {r["tie"]: r["state"] for r in collected(spark, snapshot.cached(log, 2, 2), "cached", tmp_path).collect()}
-    assert got == by_fold(spark, sf, lambda: folds.LruFold(2), snapshot._shard(2), "state")
+    assert got == by_fold(spark, sf, lambda: folds.LruFold(2), folds.shard_of(2), "state")
 
 
 def test_limiter_drops_old_state(spark, sf, in_order, tmp_path):
