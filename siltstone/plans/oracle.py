@@ -193,4 +193,33 @@ SQL: dict[str, str] = {
     "sketch_namespace": f"WITH {LATEST} SELECT key || '_' || kind AS key, kind FROM latest CROSS JOIN (SELECT unnest(['hll', 'cms']) AS kind) WHERE NOT tombstone AND key || '_' || kind NOT IN (SELECT key FROM latest WHERE NOT tombstone)",
     "element_format": f"""WITH {LATEST} SELECT key, 'Timestamp: ' || ts || ': Tombstone: false: Key Size: ' || octet_length(encode(key)) || ': Value Size: ' || octet_length(encode(value)) || ': Key: ' || key || ': Value: ' || value AS line
         FROM latest WHERE NOT tombstone""",
+    "stream_snapshot": f"WITH {LATEST} SELECT key, value, ts FROM latest WHERE NOT tombstone",
+    "stream_flushed": f"""WITH RECURSIVE {LOG}, own AS (SELECT *, ({h32("'0'", "key")} % 8)::INT AS shard, row_number() OVER (PARTITION BY {h32("'0'", "key")} % 8 ORDER BY seq) AS n FROM log),
+        steps AS (
+            SELECT shard, n, 0::BIGINT AS segment, [key] AS keys FROM own WHERE n = 1
+            UNION ALL
+            SELECT l.shard, l.n, CASE WHEN list_contains(s.keys, l.key) OR len(s.keys) < 4 THEN s.segment ELSE s.segment + 1 END,
+                CASE WHEN list_contains(s.keys, l.key) THEN s.keys WHEN len(s.keys) < 4 THEN list_append(s.keys, l.key) ELSE [l.key] END
+            FROM steps s JOIN own l ON l.shard = s.shard AND l.n = s.n + 1)
+        SELECT shard, segment, count(*) AS n_ops, count(DISTINCT key) AS n_keys, min(event_id) AS least_event, max(event_id) AS largest_event FROM steps JOIN own USING (shard, n) GROUP BY ALL""",
+    "level_listing": f"WITH RECURSIVE {COMPACTED} SELECT level, count(DISTINCT sstable) AS n_runs, count(*) AS n_records FROM compacted GROUP BY level",
+    "input_cleanup": f"WITH {LOG} SELECT event_id, regexp_replace(regexp_replace(key || chr(13) || chr(10) || value || chr(13) || chr(10), chr(10), ''), chr(13), '') AS line FROM log",
+    "stream_windows": """WITH c AS (SELECT epoch_us(ts) // 600000000 * 600 AS start, event_type, count(*) AS n, (SELECT max(epoch_us(ts)) FROM events) AS latest FROM events GROUP BY 1, 2)
+        SELECT start, event_type, n FROM c WHERE (start + 600) * 1000000 <= latest - 300000000""",
+    "stream_sessions": """WITH e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS us, event_id, max(epoch_us(ts)) OVER () AS latest FROM events),
+        g AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY us, event_id) AS session FROM (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY key ORDER BY us, event_id) >= 43200000000, true)::INT AS begins FROM e))
+        SELECT key, min(us) // 1000000 AS start, count(*) AS n FROM g GROUP BY key, session, latest HAVING max(us) + 43200000000 <= latest - 300000000""",
+    "stream_cached": f"""WITH RECURSIVE {LOG}, own AS (SELECT *, {h32("'0'", "key")} % 8 AS shard, row_number() OVER (PARTITION BY {h32("'0'", "key")} % 8 ORDER BY seq) AS n FROM log),
+        steps AS (
+            SELECT shard, 0::BIGINT AS n, []::VARCHAR[] AS keys, false AS hit FROM own WHERE n = 1
+            UNION ALL
+            SELECT l.shard, l.n, CASE WHEN l.tombstone THEN list_filter(s.keys, lambda x: x <> l.key) ELSE (list_append(list_filter(s.keys, lambda x: x <> l.key), l.key))[-2:] END, list_contains(s.keys, l.key)
+            FROM steps s JOIN own l ON l.shard = s.shard AND l.n = s.n + 1)
+        SELECT event_id, hit, array_to_string(keys, ',') AS state FROM steps JOIN own USING (shard, n)""",
+    "stream_limited": f"""WITH RECURSIVE {LOG}, own AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM log),
+        steps AS (
+            SELECT key, n, ts AS start, true AS admitted FROM own WHERE n = 1
+            UNION ALL
+            SELECT l.key, l.n, CASE WHEN l.ts - s.start >= 21600 THEN l.ts ELSE s.start END, l.ts - s.start >= 21600 FROM steps s JOIN own l ON l.key = s.key AND l.n = s.n + 1)
+        SELECT event_id, admitted FROM steps JOIN own USING (key, n)""",
 }

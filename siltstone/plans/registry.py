@@ -11,9 +11,10 @@ from ..config import DEFAULT as C
 from ..functions.hashing import HEADER_BYTES, from_little_endian, log_crc, record_size
 from ..operators import compaction, folds, merkle, resolve, runs, sketches, wal
 from ..sources import store_files
-from ..sources.oplog import events_log, orders_log, with_seq
+from ..sources.oplog import clean_input, events_log, orders_log, seconds, with_seq
 from ..sources.record_files import data_record
 from ..sources.scratch import scratch_folder, written
+from ..streaming import snapshot as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BLOOM_M, BLOOM_K = runs.bloom_size(C.memtable_threshold, C.false_positive_rate)
@@ -199,6 +200,23 @@ def merkle_listing(spark, sf_dir):
     return store_files.read_listing(listing, folder).select("sstable", "place", "hash")
 
 
+@query
+def level_listing(spark, sf_dir):
+    """Compacted runs written as Parquet, and what is found there by level."""
+    folder = f"{scratch_folder(spark)}/runs"
+    out = compaction.compact(_runs(spark, sf_dir).select("level", "sstable", "ord", *RECORD), C.max_levels)
+    runs.write_runs(out.select("level", "sstable", *RECORD), folder)
+    found = runs.read_runs(spark, folder).groupBy("level", "sstable").agg(F.count("*").alias("n"))
+    return found.groupBy("level").agg(F.count("*").alias("n_runs"), F.sum("n").alias("n_records"))
+
+
+@query
+def input_cleanup(spark, sf_dir):
+    """Keys and values as typed lines, each with its line end: the first line feed and the first carriage return go."""
+    line = F.concat("key", F.lit("\r\n"), "value", F.lit("\r\n"))
+    return events_log(spark, sf_dir).select(F.col("ord.tie").alias("event_id"), clean_input(line).alias("line"))
+
+
 @query
 def sstable_manifest(spark, sf_dir):
     return runs.manifest(_runs(spark, sf_dir))
@@ -398,3 +416,57 @@ def element_format(spark, sf_dir):
     s = resolve.snapshot(events_log(spark, sf_dir))
     text = runs.element_text(F.col("ts"), F.col("tombstone"), F.col("key"), F.col("value"))
     return s.select("key", F.regexp_replace(text, r"^CRC: \d+: ", "").alias("line"))
+
+
+def _stream(spark, sf_dir):
+    return streams.events_stream(spark, f"{sf_dir}/events.parque[t]")  # a pattern: the path may be a folder or a file
+
+
+def _finished(df: DataFrame) -> DataFrame:
+    """What a stream gives once it has read all that is there."""
+    folder = scratch_folder(df.sparkSession)
+    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_snapshot(spark, sf_dir):
+    """The live snapshot kept by a stream: its changes, merged into a base and read back."""
+    folder = scratch_folder(spark)
+    streams.write_changes(streams.stream_log(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    streams.merge_changes(spark, f"{folder}/out")
+    return streams.read_snapshot(spark, f"{folder}/out").filter("not tombstone").select("key", "value", "ts")
+
+
+@query
+def stream_windows(spark, sf_dir):
+    """Windows of ten minutes that the watermark, five minutes behind, has closed."""
+    d = _finished(streams.windowed_counts(_stream(spark, sf_dir)))
+    return d.select(seconds("window.start").alias("start"), "event_type", "n")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Sessions with gaps of less than twelve hours that the watermark has closed."""
+    d = _finished(streams.session_counts(_stream(spark, sf_dir), "12 hours"))
+    return d.select("key", seconds("start").alias("start"), "n")
+
+
+@query
+def stream_flushed(spark, sf_dir):
+    d = _finished(streams.flushed(streams.stream_log(_stream(spark, sf_dir)), C.memtable_threshold, 8))
+    return d.groupBy("shard", "segment").agg(F.count("*").alias("n_ops"), F.count_distinct("key").alias("n_keys"), F.min("tie").alias("least_event"), F.max("tie").alias("largest_event"))
+
+
+@query
+def stream_cached(spark, sf_dir):
+    d = _finished(streams.cached(streams.stream_log(_stream(spark, sf_dir)), C.cache_capacity, 8))
+    return d.select(F.col("tie").alias("event_id"), "hit", "state")
+
+
+@query
+def stream_limited(spark, sf_dir):
+    """A limiter for each user, of one operation in six hours."""
+    d = _finished(streams.rate_limited(streams.stream_log(_stream(spark, sf_dir)), 1, 6 * 3600, late="1 hour"))
+    return d.select(F.col("tie").alias("event_id"), "admitted")

@@ -40,7 +40,7 @@ def windowed_counts(events: DataFrame, window: str = "10 minutes", late: str = "
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "5 minutes") -> DataFrame:
-    """Operations in each session of a user: operations that are no more than the gap apart. A session comes out once the
+    """Operations in each session of a user: operations less than the gap apart. A session comes out once the
     watermark has passed its end, and its state goes."""
     e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     s = e.groupBy(F.session_window("at", gap).alias("session"), F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
