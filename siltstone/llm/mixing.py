@@ -26,7 +26,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     Sources by code point, null last, take the weights in turn. A target is weight times a common level, but most times
     the source's size at the most; the level is such that targets sum to the share of all sizes. With sources in the
     order of size by weight, those before some place are at their limit and those after it are not: one pass of sums
-    finds the place. Its windows hold a row for each source.
+    finds the place. Its windows hold a row for each source. No sources give no rows; sources of size 0 have target 0.
     """
     n = len(weights)
     order = Window.orderBy(F.col("source").isNull(), "source")

@@ -101,7 +101,11 @@ def _repeats(block: pa.Table) -> pa.Table:
 
 
 def window_starts(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, starts (packed): windows of docs (doc_id, text) whose words a smaller document has in one run too."""
+    """doc_id, starts (packed): windows of docs (doc_id, text) whose words a smaller document has in one run too, in as
+    many rows for a document as it has buckets with such windows.
+
+    Rows without an id, null texts and texts of fewer than width words have no windows; an empty table gives no rows.
+    """
     buckets = buckets_for(docs, 2 << 20, least=256)
     blocks = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_hash_windows(buckets, width), "bucket int, doc_id long, hashes binary, docs binary, starts binary")
     return blocks.groupBy("bucket").applyInArrow(K.tidy_group(_repeats), "doc_id long, starts binary")

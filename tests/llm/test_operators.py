@@ -9,7 +9,7 @@ import pytest
 from siltstone.llm import decontamination, jaccard_join, mixing, simple8b, warc
 from siltstone.llm import kernels as K
 from siltstone.llm.exact_dedup import MinimalPerfectHash, exact_dedup
-from siltstone.llm.substring_dedup import substring_dedup
+from siltstone.llm.substring_dedup import substring_dedup, window_starts
 from siltstone.llm.token_output import open_file, read_ids, token_output, tokenizer_path
 
 from .helpers import ALNUM_WORD, corpus, frame, words
@@ -289,3 +289,19 @@ def test_rolling_windows_and_packing():
     assert len(w) == len(h) - 49 and (w[5:56] == w[2_000_000:2_000_051]).all() and len(np.unique(w)) == len(w) - 51
     x = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 1000)
     assert (K.unpack_ints(K.pack_ints(x)) == x).all()
+
+
+def test_parts_on_empty_input(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert window_starts(docs).collect() == []
+    assert decontamination.build_index(docs).collect() == []
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).collect() == []
+    some = mixing.targets(spark.createDataFrame([("a", 0), ("b", 10), (None, 0)], "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in some} == {"a": 0, "b": 15, None: 0}
+
+
+def test_windows_of_odd_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (3, None), (4, "w0 w1"), (5, "")], "doc_id long, text string")
+    assert {r["doc_id"] for r in window_starts(docs).collect()} == {2}
