@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def _table(batches) -> pa.Table:
 
 
 def _read(t: pa.Table, kinds: tuple[str, ...], raw: str = "", packed: str = "") -> list[np.ndarray]:
-    t = t.filter(pa.compute.is_in(t["kind"], pa.array(kinds)))
+    t = t.filter(pc.is_in(t["kind"], pa.array(kinds)))
     if not len(t):
         return [*(np.zeros(0, K.U) for _ in raw), *(np.zeros(0, np.int64) for _ in packed)]
     return [*(np.frombuffer(b"".join(t[c].to_pylist()), K.U) for c in raw), *(np.concatenate([K.unpack_ints(b) for b in t[c].to_pylist()]) for c in packed)]
@@ -157,7 +158,7 @@ def _resolve(buckets: int):
     """Of a bucket: which n-grams several sets have; which sets are equal."""
 
     def run(t: pa.Table) -> pa.Table:
-        out = [b for b in t.filter(pa.compute.is_in(t["kind"], pa.array(["member", "shared"]))).cast(ROW).to_batches() if len(b)]
+        out = [b for b in t.filter(pc.is_in(t["kind"], pa.array(["member", "shared"]))).cast(ROW).to_batches() if len(b)]
         bucket = t["bucket"][0].as_py()
         doc, h = _read(t, ("gram",), "", "bc")
         (settled,) = _read(t, ("settled",), "", "c")
@@ -191,7 +192,7 @@ def _alive(percent: int):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        through = [b for b in t.filter(pa.compute.is_in(t["kind"], pa.array(["member", "rep"]))).cast(ROW).to_batches() if len(b)]
+        through = [b for b in t.filter(pc.is_in(t["kind"], pa.array(["member", "rep"]))).cast(ROW).to_batches() if len(b)]
         doc, n, rep = _read(t, ("rep",), "", "bcd")
         own = doc == rep
         order = np.argsort(doc[own])

@@ -1,8 +1,14 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import jaccard_join
 
+from ..conftest import ROOT
 from .helpers import corpus, frame, words
 
 
@@ -108,3 +114,15 @@ def test_overlaps_in_pieces(monkeypatch):
     sets = [np.unique(r.integers(0, 300, 150)) for _ in range(9)]
     got = jaccard_join._overlaps(np.concatenate(sets), np.array([len(s) for s in sets]), slice(0, 4), slice(4, 9))
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[4:]] for x in sets[:4]]
+
+
+@pytest.mark.parametrize("run", ["_resolve(64)", "_alive(75)", "_frequencies(64)", "_sets(75)"])
+def test_a_bucket_in_a_new_process(run):
+    """A Python worker in which no other step has run yet: it has only what the module itself imports. Tables come as in Spark."""
+    sink = pa.BufferOutputStream()
+    row = [pa.array([5], pa.int32()), pa.array(["none"]), *[pa.array([b""], pa.binary())] * 4]
+    with pa.ipc.new_stream(sink, jaccard_join.ROW) as stream:
+        stream.write_batch(pa.record_batch(row, schema=jaccard_join.ROW))
+    code = f"import sys, pyarrow as pa, siltstone.llm.jaccard_join as J; print(len(J.{run}(pa.ipc.open_stream(sys.stdin.buffer).read_all())))"
+    done = subprocess.run([sys.executable, "-c", code], input=sink.getvalue().to_pybytes(), env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True)
+    assert (done.stdout, done.returncode) == (b"0\n", 0), done.stderr.decode()
